@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -62,11 +63,14 @@ class Encoder:
         self.id = [vocab[t] for t in self.bytes]
         self.automaton = ahocorasick.Automaton()
         for t, r in rank.items():
-            self.automaton.add_word(t.decode("latin-1"), r)
+            if len(t) > 1:
+                self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
         self.automaton.make_automaton()
         self.size = [len(t) for t in self.bytes]
         #: The longest token that is a proper prefix of each token.
         self.shorter = [next((rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in rank), -1) for t in self.bytes]
+        #: Pairs of tokens whose compatibility is known; bounded.
+        self.table: dict[int, bool] = {}
         self.added = {a["content"]: a["id"] for a in model["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
@@ -74,7 +78,7 @@ class Encoder:
         #: The bytes of all tokens in the order of their ids, and where each begins.
         self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(max(tokens) + 1)), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(tokens.get(i, b"")) for i in range(max(tokens) + 1)])])
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, list[int]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the boundary between tokens a and b outlasts every merge inside and across them.
@@ -96,31 +100,43 @@ class Encoder:
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece, by backtracking."""
-        n = len(data)
-        longest = [0] * n
-        size = self.size
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            start = end + 1 - size[token]
-            if size[token] > size[longest[start]] or longest[start] < 256:
+        n, size, table, shorter = len(data), self.size, self.table, self.shorter
+        longest = list(data)
+        reach = [1] * n
+        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
+            start = end + 1 - length
+            if length > reach[start]:
+                reach[start] = length
                 longest[start] = token
+        if n and reach[0] == n:
+            return [self.id[longest[0]]]
         alive = bytearray(b"\1") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0] if n else 0
+        last, at, token = -1, 0, longest[0] if n else 0
         while at < n:
-            while True:
-                end = at + size[token]
-                if alive[end] and (not out or self.compatible(out[-1], token)):
+            end = at + size[token]
+            if alive[end]:
+                if last < 0:
+                    fits = True
+                else:
+                    fits = table.get(last << 20 | token)
+                    if fits is None:
+                        if len(table) >= CACHE:
+                            table.clear()
+                        fits = table[last << 20 | token] = self.compatible(last, token)
+                if fits:
                     out.append(token)
-                    at = end
-                    token = longest[at] if at < n else 0
-                    break
-                if self.shorter[token] >= 0:
-                    token = self.shorter[token]
+                    last, at = token, end
+                    if at < n:
+                        token = longest[at]
                     continue
+            token = shorter[token]
+            if token < 0:
+                # nothing that begins here leads on: the token before must end elsewhere
                 alive[at] = 0
                 token = out.pop()
                 at -= size[token]
-                # what begins here must be shorter; the place after it is marked, so the test above fails for it
+                last = out[-1] if out else -1
         return [self.id[t] for t in out]
 
     def words(self, text: str) -> Iterator[list[str] | int]:
@@ -139,15 +155,13 @@ class Encoder:
             if isinstance(part, int):
                 out.append(part)
                 continue
-            for word in part:
-                ids = cache.get(word)
-                if ids is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    ids = tuple(self.piece(word.encode()))
-                    if len(word) <= 64:
-                        cache[word] = ids
-                out += ids
+            if len(cache) + len(part) > CACHE and len(cache) + len(set(part)) > CACHE:
+                cache.clear()
+            for word in set(part).difference(cache):
+                cache[word] = self.piece(word.encode())
+            out += chain.from_iterable(map(cache.__getitem__, part))
+            for word in {w for w in part if len(w) > 64}:
+                del cache[word]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

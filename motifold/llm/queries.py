@@ -3,14 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motifold.llm import ngram_join, quality_rules
+from motifold.llm import bpe, lm_score, mixing, ngram_join, quality_rules, secrets
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(VOCABULARY))
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(_documents(spark, sf_dir), ~lm_score.held_out("doc_id", 7, 2))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(_documents(spark, sf_dir), vocabulary()), vocabulary())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.expr(secrets.digest("base")), 256).alias("base_sha256"), F.expr(secrets.digest("spans")).alias("spans"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(_documents(spark, sf_dir))
 
@@ -20,7 +48,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_quality_rules, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op4_secrets, op5_mixing, op8_quality_rules, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
