@@ -33,11 +33,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids; decoding gives the text back."""
-    return bpe.encode(docs, vocabulary())
+    """doc_id, token ids, and the text that they decode to."""
+    return bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
 
 
-STAGES = [("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", scan), ("mixing sources", mix), ("BPE encoding", encode)]
+STAGES = [("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", scan), ("mixing sources", mix), ("BPE encoding and decoding", encode)]
 #: SQL has no byte-pair encoding; tests compare the stages with brute force.
 ORACLE_SQL = None
 

@@ -23,11 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifold.llm.shared import small_batches
 from motifold.llm.text import column_bytes, slices
 
 #: The pre-tokenizer's fixed pattern, with white space spelt out as the property that it stands for there.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-PART, CACHE = 4 << 20, 1 << 18
+PART, CACHE = 1 << 20, 1 << 17
 
 
 def _characters() -> dict[str, int]:
@@ -178,6 +179,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and ids (array of int) of each row of docs. path: a vocabulary file that every executor has."""
+    small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -196,6 +198,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
 def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """id, ids and text for each row of tokens, as encode() makes them; bytes that are no UTF-8 become U+FFFD."""
+    small_batches(tokens.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)

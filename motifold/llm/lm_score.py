@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import written
+from motifold.llm.shared import small_batches, written
 from motifold.llm.text import LOWER, Hashes, column_bytes, mix, slices, word_spans
 
 U = np.uint64
@@ -240,6 +240,7 @@ def _table(replies: pa.Table, kind: int, dtype: type) -> tuple[np.ndarray, np.nd
 
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score and score of each row of docs. train: whether a row is learnt from."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))

@@ -3,9 +3,10 @@
 The global order of all shingles is the order of their 64-bit hashes. It is cut into F fragments, and a document's set
 falls into one segment for each fragment. Two sets that link differ in at most d = floor(min size * (100 - t) / t)
 shingles, so with F above d at least one fragment holds equal segments: documents that share a whole segment are
-candidates. F depends on a document's size level, and each set is cut for its own level and the one below, so that
-any two sizes that can link meet on one level. Fragments which are empty on both sides say nothing; F has some spare ones, and a
-set with more empty fragments than that announces them as well, so that no link is lost.
+candidates, unless the segment is made of common shingles alone. F depends on a document's size level, and each set is cut for its own level and the one below, so that
+any two sizes that can link meet on one level. Fragments that are empty on both sides say nothing, and common shingles little; F has some spare ones, and a
+set with more such fragments than that announces them as well, so that no link is lost. Which shingles count as common
+changes the work, never the result.
 
 Candidates form clusters. Within tiles of a cluster the shared shingles of all pairs are counted fragment by fragment and summed
 for each pair. Tiles have at most about 100 sets; a larger cluster is dealt over many, each with some common leaders, and
@@ -17,6 +18,7 @@ links with nothing. Rows that repeat an id count as one document with several te
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import components, written
+from motifold.llm.shared import components, small_batches, written
 from motifold.llm.text import LOWER, Hashes, column_bytes, mix, slices, word_spans
 
 U = np.uint64
 #: Bytes of text handled at once, sets in a tile, leaders of a large cluster, documents for each bucket of segments.
-PART, TILE, LEADERS, DOCS_A_BUCKET = 4 << 20, 100, 16, 1 << 13
+PART, TILE, LEADERS, DOCS_A_BUCKET = 1 << 20, 100, 16, 1 << 13
+#: Sets of one part of the input in which a shingle must be to count as common there, and how many common shingles are told to all tasks at most.
+OFTEN, COMMON = 4, 1 << 17
 
 
 class Sets:
@@ -82,32 +86,65 @@ def levels(most: int, percent: int) -> list[int]:
     return bounds
 
 
-def segments(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each set's segments on its two levels, with the text that each belongs to."""
-    bounds = np.array(levels(int(sets.size.max(initial=0)), percent))
-    level = np.searchsorted(bounds, sets.size, "right") - 1
+def cuts(bounds: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each level the number of fragments, and how many of them are spare.
+
+    Segment sizes follow a Poisson law, as hashes are uniform; so few sets (one in 1000) have more empty segments than spare ones.
+    """
+    fragments, spares = [], []
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        differ, spare = (high - 1) * (100 - percent) // percent, 0
+        while differ and spare < differ + 3:
+            empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
+            term, below = math.exp(-empty), 0.0
+            for k in range(spare + 1):
+                below += term
+                term *= empty / (k + 1)
+            if below > 1 - 1e-3:
+                break
+            spare += 1
+        spare += 2 if differ > 8 else 0
+        fragments.append(differ + 1 + spare)
+        spares.append(spare)
+    return np.array(fragments), np.array(spares)
+
+
+def segments(sets: Sets, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each set's segments on its two levels, with the text that each belongs to. common: hashes of common shingles, in order.
+
+    Two sets that link agree in more fragments than are spare. So a segment of common shingles alone is announced only by sets that have
+    more such and empty segments than spare ones, and an empty one only by sets with more empty ones.
+    """
+    bounds = levels(int(sets.size.max(initial=0)), percent)
+    fragments, spares = cuts(bounds, percent)
+    level = np.searchsorted(np.array(bounds), sets.size, "right") - 1
+    rare = np.ones(len(sets.value), np.int64)
+    if len(common):
+        rare = (common[np.minimum(np.searchsorted(common, sets.value), len(common) - 1)] != sets.value).astype(np.int64)
     found, owners = [], []
     for below in (0, 1):
         own = level - below
         ok = (sets.size > 0) & (own >= 0)
-        most = np.where(ok, bounds[np.clip(own + 1, 0, len(bounds) - 1)] - 1, 0)
-        differ = most * (100 - percent) // percent
-        spare = np.where(differ < 4, 0, np.where(differ < 10, 1, 2))
-        cuts = differ + 1 + spare
+        at_level = np.clip(own, 0, len(fragments) - 1)
+        cut, spare = fragments[at_level], spares[at_level]
         pick = ok[sets.owner]
         value, owner = sets.value[pick], sets.owner[pick]
         if not len(value):
             continue
-        part = ((value >> U(32)) * cuts[owner].astype(U)) >> U(32)
+        part = ((value >> U(32)) * cut[owner].astype(U)) >> U(32)
         new = np.ones(len(value), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
         at = np.flatnonzero(new)
-        tag = mix(U(0x51F0) + own[owner[at]].astype(U) * U(1 << 32) + part[at])
-        found.append(mix(np.add.reduceat(mix(value), at) + tag))
-        owners.append(owner[at])
-        filled = np.bincount(owner[at], minlength=len(cuts))
-        for k in np.flatnonzero(ok & (cuts - filled > spare)):
-            gaps = np.setdiff1d(np.arange(cuts[k]), part[at][owner[at] == k].astype(np.int64))
+        text = owner[at]
+        telling = np.add.reduceat(rare[pick], at) > 0
+        poor = cut - np.bincount(text[telling], minlength=len(cut)) > spare
+        sent = telling | poor[text]
+        tag = mix(U(0x51F0) + own[text].astype(U) * U(1 << 32) + part[at])
+        found.append(mix(np.add.reduceat(mix(value), at) + tag)[sent])
+        owners.append(text[sent])
+        filled = np.bincount(text, minlength=len(cut))
+        for k in np.flatnonzero(ok & (cut - filled > spare)):
+            gaps = np.setdiff1d(np.arange(cut[k]), part[at][text == k].astype(np.int64))
             found.append(mix(mix(U(0x51F0) + U(own[k]) * U(1 << 32) + gaps.astype(U)) ^ U(0xE3)))
             owners.append(np.full(len(gaps), k))
     if not found:
@@ -130,7 +167,7 @@ def _chains(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _BLOB = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("node", pa.binary())])
 
 
-def _candidates(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+def _candidates(docs: DataFrame, words: int, percent: int, buckets: int, common: np.ndarray) -> DataFrame:
     """Edges (a, b) that connect all documents which share a segment. docs: id, text.
 
     Each part of the input sends one document for each segment; the edges to the others of that part are sent as they are.
@@ -139,7 +176,7 @@ def _candidates(docs: DataFrame, words: int, percent: int, buckets: int) -> Data
     def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
         key, node, a, b = _chains(np.concatenate(keys), np.concatenate(nodes))
         bucket = (key >> U(20)) % U(buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((node, bucket))
         bucket, key, node = bucket[order], key[order], node[order]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
         rows = [(int(bucket[i]), key[i:j].tobytes(), node[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(key)], strict=True)]
@@ -153,7 +190,7 @@ def _candidates(docs: DataFrame, words: int, percent: int, buckets: int) -> Data
             data, offsets = column_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets, PART):
-                key, owner = segments(Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), percent)
+                key, owner = segments(Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), percent, common)
                 keys.append(key)
                 nodes.append(ids[i:j][owner])
                 held += len(key)
@@ -235,15 +272,35 @@ def _hashes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
+    """Size and sums of each set. Rows of size -1 hold the shingles that are in OFTEN sets of one part of the input, with their counts."""
+    names = ["id", "n", "one", "two", "key", "count"]
+
+    def common(values: list[np.ndarray]) -> pa.RecordBatch:
+        value = np.sort(np.concatenate(values))
+        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+        count = np.diff(np.append(at, len(value)))
+        often = count >= OFTEN
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (value[at][often].view(np.int64), count[often])]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, -1, 0, 0)] + lists, names=names)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, held = [], 0
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for i, j in slices(offsets, PART):
                 sets = Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 one, two = sets.sums()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets.size), pa.array(one), pa.array(two)], names=["id", "n", "one", "two"])
+                none = pa.nulls(j - i, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets.size), pa.array(one), pa.array(two), none, none], names=names)
+                values.append(sets.value)
+                held += len(sets.value)
+                if held > 2_000_000:
+                    yield common(values)
+                    values, held = [], 0
+        if held:
+            yield common(values)
 
-    return docs.mapInArrow(each, "id long, n long, one long, two long")
+    return docs.mapInArrow(each, "id long, n long, one long, two long, key array<long>, count array<long>")
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -252,11 +309,15 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     Documents link when 100 * shared >= percent * all of their distinct shingles of `words` words. component_id is the smallest id
     that can be reached by links, an id's own included.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    sizes = written(_sizes(rows, words), "sizes")
+    mapped = written(_sizes(rows, words), "sizes")
+    sizes = mapped.where("n >= 0").select("id", "n", "one", "two")
+    often = mapped.where("n < 0").select(F.explode(F.arrays_zip("key", "count")).alias("x")).groupBy("x.key").agg(F.sum("x.count").alias("count"))
+    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "key").limit(COMMON).select("key").collect()], np.int64).view(U))
     known = rows.where("id is not null")
     buckets = max(1, -(-sizes.count() // DOCS_A_BUCKET))
-    near = written(components(_candidates(known, words, percent, buckets), "a", "b"), "clusters")
+    near = written(components(_candidates(known, words, percent, buckets, common), "a", "b"), "clusters")
     classes = written(sizes.where("id is not null and n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("rep")), "classes")
     # one member of each class, in the cluster of all that it shares a segment with
     members = written(near.join(classes.select(F.col("rep").alias("node")).distinct(), "node").select(F.col("node").alias("id"), F.col("label").alias("c")), "members")

@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifold.llm.shared import small_batches
 from motifold.llm.suffix import MOST, common_prefixes, neighbours, suffix_array
 from motifold.llm.text import Hashes, column_bytes, slices, word_spans
 
 SPAN, COVERED, LONGEST = 8, 40, 200
+#: Bytes of text handled at once; a longer text alone.
+PART = 1 << 19
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
@@ -93,7 +96,7 @@ def _long(names: np.ndarray, span: int, cap: int) -> list[int]:
 def measure(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, longest: int = LONGEST) -> np.ndarray:
     """The COUNTS of each text, a row for each count."""
     out = np.zeros((len(COUNTS), len(offsets) - 1), np.int64)
-    for i, j in slices(offsets, MOST):
+    for i, j in slices(offsets, PART):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, edges = word_spans(part, at)
         out[0, i:j] = np.diff(edges)
@@ -122,6 +125,7 @@ def verdicts(counts: np.ndarray, covered: int = COVERED, longest: int = LONGEST)
 
 def rate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", span: int = SPAN, covered: int = COVERED, longest: int = LONGEST) -> DataFrame:
     """A row for each row of docs: its id, the COUNTS, base_failed and kept. Other columns are not read."""
+    small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,6 +140,7 @@ def rate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def keep(docs: DataFrame, text_column: str = "text", span: int = SPAN, covered: int = COVERED, longest: int = LONGEST) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifold.llm import bpe, lm_score, mixing, ngram_join, quality_rules, secrets
+from motifold.llm import bpe, lm_score, mixing, ngram_join, quality_rank, quality_rules, secrets, substring_dedup, topk, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -30,6 +30,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    apart = lm_score.held_out("doc_id", 5, 0)
+    found = quality_rank.score(docs, quality_rank.fit(docs, labels, "quality", ~apart))
+    return found.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.expr(secrets.digest("base")), 256).alias("base_sha256"), F.expr(secrets.digest("spans")).alias("spans"))
@@ -39,16 +46,32 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    apart = lm_score.held_out("doc_id", 5, 0)
+    found = toxicity.score(docs, toxicity.fit(docs, labels, "toxic", ~apart))
+    return found.select("doc_id", apart.alias("held_out"), "score", "predicted", "sentences")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(_documents(spark, sf_dir))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_documents(spark, sf_dir), words=3, percent=90)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op4_secrets, op5_mixing, op8_quality_rules, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_score, op2_bpe, op3_quality, op4_secrets, op5_mixing, op6_toxicity, op7_substring_dedup, op8_quality_rules, op9_topk, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

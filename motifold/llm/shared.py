@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches between Spark and Python: bytes and rows. The session's own limits hold where they are lower.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Python workers small whatever the texts' lengths: limit the session's Arrow batches."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = (spark.conf.get(key, None) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (as in tests on one machine), a folder of our own is set."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("motifold.checkpoint.dir", None)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import written
+from motifold.llm.shared import small_batches, written
 from motifold.llm.suffix import common_prefixes, neighbours, suffix_array
 from motifold.llm.text import Hashes, column_bytes, mix, slices
 
@@ -219,6 +219,7 @@ def _repeated(packed: DataFrame, length: int) -> DataFrame:
 
 def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 400) -> DataFrame:
     """id, n_bytes, spans (start and end of each maximal removed run, in bytes) and kept (the other bytes) of each row of docs."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.xxhash64(F.col(id_column), F.col(text_column)).alias("key"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.col(id_column).alias("id"))
     found = written(_all_runs(rows.select("key", "text"), length), "runs")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import written
+from motifold.llm.shared import small_batches, written
 
 #: Pivots, vectors in the samples for pivots and for first thresholds, in a cell, cells in a group, queries in a block.
 PIVOTS, SAMPLE, LARGEST, CELL, GROUP, BLOCK = 16, 1024, 512, 512, 16, 256
@@ -110,6 +110,7 @@ def search_group(cells: list[dict], ids: np.ndarray, queries: np.ndarray, least:
 
 def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, the neighbour's id and score: for each row that is a query its k best others by the integer inner product of floor(scale * x)."""
+    small_batches(table.sparkSession)
     spark = table.sparkSession
     names = f"query_id long, rank int, {id_column} long, score long"
     vector = F.transform(F.col(vector_column), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
