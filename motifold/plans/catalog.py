@@ -1,11 +1,340 @@
-"""The registered queries of the graph engine, with the SQL each is checked against."""
+"""The registered queries of the graph engine, with the SQL each is checked against.
+
+Pattern queries run over the star-schema tables as a graph; the others are one operator each, over the same graph.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from motifold.functions import boolexpr as bx
+from motifold.functions import predicates as P
+from motifold.operators import ingest, matching, properties, signatures
+from motifold.plans.cypher import parse
+from motifold.plans.engine import Engine
+from motifold.sources.tables import priorities, read, star_graph
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Cypher and the SQL that gives the same rows.
+MATCHES: dict[str, tuple[str, str]] = {
+    "match_one_edge": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000.0 RETURN c, o",
+        "select distinct 'customer:'||c_custkey c, 'order:'||o_orderkey o from customer join orders on o_custkey=c_custkey where o_totalprice > 300000.0",
+    ),
+    "match_chain": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) WHERE p.p_brand = 'Brand#2' AND o.o_orderpriority = '1-URGENT' RETURN c, o, p",
+        "select distinct 'customer:'||c_custkey c, 'order:'||o_orderkey o, 'part:'||p_partkey p from customer join orders on o_custkey=c_custkey join lineitem on l_orderkey=o_orderkey join part on p_partkey=l_partkey where p_brand='Brand#2' and o_orderpriority='1-URGENT'",
+    ),
+    "match_or": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE r.r_name STARTS WITH 'A' AND (c.c_mktsegment = 'BUILDING' OR c.c_acctbal < 0.0) RETURN c, n, r",
+        "select distinct 'customer:'||c_custkey c, 'nation:'||n_nationkey n, 'region:'||r_regionkey r from customer join nation on c_nationkey=n_nationkey join region on r_regionkey=n_regionkey where r_name like 'A%' and (c_mktsegment='BUILDING' or c_acctbal < 0.0)",
+    ),
+    "match_cross_variable": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > c.c_acctbal RETURN c, n, s",
+        "select distinct 'customer:'||c_custkey c, 'nation:'||n_nationkey n, 'supplier:'||s_suppkey s from customer join nation on c_nationkey=n_nationkey join supplier on s_nationkey=n_nationkey where s_acctbal > c_acctbal",
+    ),
+    "match_parallel_types": (
+        "MATCH (s:Supplier)-[:SHIPPED_A]->(p:Part), (s)-[:SHIPPED_R]->(p) RETURN s, p",
+        "select distinct 'supplier:'||a.l_suppkey s, 'part:'||a.l_partkey p from lineitem a join lineitem b on a.l_suppkey=b.l_suppkey and a.l_partkey=b.l_partkey where a.l_returnflag='A' and b.l_returnflag='R'",
+    ),
+    "match_homomorphism": (
+        "MATCH (c:Customer)-[:PLACED]->(o1:Order), (c)-[:PLACED]->(o2:Order) WHERE o1.o_orderstatus = 'P' AND o2.o_orderstatus = 'F' AND o1.o_orderpriority = '1-URGENT' AND o2.o_orderpriority = '1-URGENT' RETURN c, o1, o2",
+        "select distinct 'customer:'||a.o_custkey c, 'order:'||a.o_orderkey o1, 'order:'||b.o_orderkey o2 from orders a join orders b on a.o_custkey=b.o_custkey where a.o_orderstatus='P' and b.o_orderstatus='F' and a.o_orderpriority='1-URGENT' and b.o_orderpriority='1-URGENT'",
+    ),
+    "match_same_node_twice": (
+        "MATCH (c:Customer)-[:PLACED]->(o1:Order), (c)-[:PLACED]->(o2:Order) WHERE o1.o_totalprice > 490000 AND o2.o_totalprice > 490000 RETURN o1, o2",
+        "select distinct 'order:'||a.o_orderkey o1, 'order:'||b.o_orderkey o2 from orders a join orders b on a.o_custkey=b.o_custkey where a.o_totalprice > 490000 and b.o_totalprice > 490000",
+    ),
+    "match_not": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE NOT o.o_orderstatus = 'F' AND o.o_totalprice >= 400000 RETURN c, o",
+        "select distinct 'customer:'||c_custkey c, 'order:'||o_orderkey o from customer join orders on o_custkey=c_custkey where not coalesce(o_orderstatus='F', false) and o_totalprice >= 400000",
+    ),
+    "match_xor": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE (o.o_orderstatus = 'P' XOR o.o_totalprice > 450000) AND c.c_mktsegment = 'MACHINERY' RETURN c, o",
+        "select distinct 'customer:'||c_custkey c, 'order:'||o_orderkey o from customer join orders on o_custkey=c_custkey where (o_orderstatus='P') <> (o_totalprice > 450000) and c_mktsegment='MACHINERY'",
+    ),
+    "match_strings": (
+        "MATCH (o:Order)-[:CONTAINS]->(p:Part) WHERE p.p_name CONTAINS 'ring' AND p.p_name STARTS WITH 'small' AND p.p_type ENDS WITH 'ECONOMY' RETURN o, p",
+        "select distinct 'order:'||o_orderkey o, 'part:'||p_partkey p from orders join lineitem on l_orderkey=o_orderkey join part on p_partkey=l_partkey where contains(p_name,'ring') and starts_with(p_name,'small') and ends_with(p_type,'ECONOMY')",
+    ),
+    "match_string_order": (
+        "MATCH (p:Part)<-[:SHIPPED_N]-(s:Supplier) WHERE p.p_name < 'b' AND p.p_brand >= 'Brand#3' AND p.p_size <> 7 AND p.p_size <= 30 RETURN s, p",
+        "select distinct 'supplier:'||l_suppkey s, 'part:'||p_partkey p from lineitem join part on p_partkey=l_partkey join supplier on s_suppkey=l_suppkey where l_returnflag='N' and p_name < 'b' and p_brand >= 'Brand#3' and p_size <> 7 and p_size <= 30",
+    ),
+    "match_any_type": (
+        "MATCH (s:Supplier)-[]->(x) WHERE s.s_acctbal < 0 RETURN s, x",
+        "select 'supplier:'||l_suppkey s, 'part:'||l_partkey x from lineitem join supplier on s_suppkey=l_suppkey join part on p_partkey=l_partkey where s_acctbal < 0 union select 'supplier:'||s_suppkey, 'nation:'||s_nationkey from supplier join nation on n_nationkey=s_nationkey where s_acctbal < 0",
+    ),
+    "match_type_alternatives": (
+        "MATCH (s:Supplier)-[:SHIPPED_A|SHIPPED_R]->(p:Part) WHERE p.p_size = 1 RETURN s, p",
+        "select distinct 'supplier:'||l_suppkey s, 'part:'||l_partkey p from lineitem join part on p_partkey=l_partkey join supplier on s_suppkey=l_suppkey where l_returnflag in ('A','R') and p_size = 1",
+    ),
+    "match_undirected": (
+        "MATCH (n:Nation)-[:IN_NATION]-(c:Customer) WHERE c.c_acctbal > 9000 RETURN n, c",
+        "select 'nation:'||n_nationkey n, 'customer:'||c_custkey c from customer join nation on n_nationkey=c_nationkey where c_acctbal > 9000",
+    ),
+    "match_two_labels": (
+        "MATCH (o:Order)-[:CONTAINS]->(p:Part:ECONOMY) WHERE o.o_totalprice > 480000 RETURN o, p",
+        "select distinct 'order:'||o_orderkey o, 'part:'||p_partkey p from orders join lineitem on l_orderkey=o_orderkey join part on p_partkey=l_partkey where p_type='ECONOMY' and o_totalprice > 480000",
+    ),
+    "match_disconnected": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation), (s:Supplier)-[:IN_NATION]->(m:Nation) WHERE c.c_acctbal > 9800 AND s.s_acctbal > 9000 RETURN c, n, s, m",
+        "select 'customer:'||c_custkey c, 'nation:'||n.n_nationkey n, 'supplier:'||s_suppkey s, 'nation:'||m.n_nationkey m from customer join nation n on n.n_nationkey=c_nationkey, supplier join nation m on m.n_nationkey=s_nationkey where c_acctbal > 9800 and s_acctbal > 9000",
+    ),
+    "match_isolated_node": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation), (r:Region) WHERE c.c_acctbal > 9500 RETURN c, n, r",
+        "select 'customer:'||c_custkey c, 'nation:'||n_nationkey n, 'region:'||r_regionkey r from customer join nation on n_nationkey=c_nationkey, region where c_acctbal > 9500",
+    ),
+    "match_unknown_label": ("MATCH (x:Nope)-[:PLACED]->(o:Order) RETURN x, o", "select '' x, '' o where false"),
+    "match_is_null": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.c_name IS NOT NULL AND c.missing IS NULL AND c.c_acctbal > 9900 RETURN c, n",
+        "select 'customer:'||c_custkey c, 'nation:'||n_nationkey n from customer join nation on n_nationkey=c_nationkey where c_name is not null and c_acctbal > 9900",
+    ),
+    "match_in_scalar": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE c.c_mktsegment IN ['BUILDING', 'FURNITURE'] AND c.c_nationkey IN [1, 2, 3] AND o.o_totalprice > 400000 RETURN c, o",
+        "select 'customer:'||c_custkey c, 'order:'||o_orderkey o from customer join orders on o_custkey=c_custkey where c_mktsegment in ('BUILDING','FURNITURE') and c_nationkey in (1,2,3) and o_totalprice > 400000",
+    ),
+    "return_properties": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.c_acctbal > 9000.0 RETURN c.c_name AS name, n.n_name, c.c_acctbal AS balance",
+        "select c_name as name, n_name as \"n.n_name\", c_acctbal as balance from customer join nation on n_nationkey=c_nationkey where c_acctbal > 9000.0",
+    ),
+    "return_distinct": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN DISTINCT r.r_name AS region, c.c_mktsegment AS segment",
+        "select distinct r_name as region, c_mktsegment as segment from customer join nation on n_nationkey=c_nationkey join region on r_regionkey=n_regionkey",
+    ),
+    "return_ordered": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN o, o.o_totalprice AS price ORDER BY price DESC, o SKIP 5 LIMIT 20",
+        "select 'order:'||o_orderkey o, o_totalprice as price from orders join customer on o_custkey=c_custkey order by o_totalprice desc, 'order:'||o_orderkey limit 20 offset 5",
+    ),
+}
+#: These have customers with an array of the priorities of their orders.
+_LIST = "(select o_custkey, list_sort(list(distinct o_orderpriority)) p from orders group by 1)"
+ARRAY_MATCHES: dict[str, tuple[str, str]] = {
+    "array_in": ("MATCH (c:Customer) WHERE c.priorities IN ['1-URGENT', '2-HIGH'] RETURN c", f"select 'customer:'||o_custkey c from {_LIST} where list_bool_and(list_transform(p, lambda x: x in ('1-URGENT','2-HIGH')))"),
+    "array_any_equals": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.priorities = '5-LOW' AND NOT c.priorities STARTS WITH '1' RETURN c, n", f"select 'customer:'||c_custkey c, 'nation:'||n_nationkey n from {_LIST} join customer on c_custkey=o_custkey join nation on n_nationkey=c_nationkey where list_contains(p,'5-LOW') and not list_bool_or(list_transform(p, lambda x: starts_with(x,'1')))"),
+    "array_contains": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.priorities CONTAINS 'GEN' AND c.priorities IS NOT NULL AND c.c_acctbal < 0 RETURN c, n", f"select 'customer:'||c_custkey c, 'nation:'||n_nationkey n from {_LIST} join customer on c_custkey=o_custkey join nation on n_nationkey=c_nationkey where list_bool_or(list_transform(p, lambda x: contains(x,'GEN'))) and c_acctbal < 0"),
+    "array_is_null": ("MATCH (c:Customer) WHERE c.priorities IS NULL RETURN c", "select 'customer:'||c_custkey c from customer where c_custkey not in (select o_custkey from orders)"),
+}
+
+
+def _match(text: str, arrays: bool = False) -> Query:
+    return lambda spark, sf_dir: Engine(star_graph(spark, sf_dir, arrays)).query(text)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(star_graph(spark, sf_dir)).query(MATCHES["match_one_edge"][0])
+
+
+# operators over customers, nations and suppliers as records
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    c, s, n, p = (read(spark, d, t) for t in ("customer", "supplier", "nation", "part"))
+    node = lambda df, key, name, *labels: df.select(F.concat(F.lit(f"{name}:"), key).alias("node_id"), F.array(*labels).alias("labels"))
+    return node(c, "c_custkey", "customer", F.lit("Customer")).union(node(s, "s_suppkey", "supplier", F.lit("Supplier"))).union(node(n, "n_nationkey", "nation", F.lit("Nation"))).union(node(p, "p_partkey", "part", F.lit("Part"), F.col("p_type")))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    c, s, lines = read(spark, d, "customer"), read(spark, d, "supplier"), read(spark, d, "lineitem")
+    edge = lambda df, key, a, b, t: df.select(F.concat_ws("|", *key).alias("edge_id"), a.alias("source_id"), b.alias("target_id"), t.alias("edge_type"))
+    name = lambda x, k: F.concat(F.lit(f"{x}:"), F.col(k))
+    shipped = edge(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"], name("supplier", "l_suppkey"), name("part", "l_partkey"), F.concat(F.lit("SHIPPED_"), F.col("l_returnflag")))
+    lives = [edge(t, [F.lit(x), k], name(x, k), name("nation", n), F.lit("IN_NATION")) for t, x, k, n in ((c, "customer", "c_custkey", "c_nationkey"), (s, "supplier", "s_suppkey", "s_nationkey"))]
+    return ingest.edges_of(ingest.union([shipped, *lives]))
+
+
+_EDGES_SQL = """edges as (select distinct concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity) edge_id, 'supplier:'||l_suppkey source_id, 'part:'||l_partkey target_id, 'SHIPPED_'||l_returnflag edge_type from lineitem
+ union select 'customer|'||c_custkey, 'customer:'||c_custkey, 'nation:'||c_nationkey, 'IN_NATION' from customer union select 'supplier|'||s_suppkey, 'supplier:'||s_suppkey, 'nation:'||s_nationkey, 'IN_NATION' from supplier),
+ nodes as (select 'customer:'||c_custkey node_id, ['Customer'] labels from customer union all select 'supplier:'||s_suppkey, ['Supplier'] from supplier union all select 'nation:'||n_nationkey, ['Nation'] from nation union all select 'part:'||p_partkey, list_sort(['Part', p_type]) from part),
+ pairs as (select source_id, target_id, s.labels src_labels, t.labels dst_labels, list_sort(list(edge_type)) edge_types, list(edge_id) ids from edges join nodes s on s.node_id=source_id join nodes t on t.node_id=target_id group by all)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.pairs(ingest.labelled_edges(_edges(spark, d), ingest.nodes_of([_nodes(spark, d)])))
+
+
+def ingest_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("source_id", "target_id", F.array_join("edge_types", ",").alias("edge_types"), F.size("edge_ids").cast("long").alias("n_edges"))
+
+
+def signature_table(spark: SparkSession, d: str) -> DataFrame:
+    out = ingest.label_pairs(_pairs(spark, d))
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("edge_1_2_types")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select(F.array_join("src_labels", ",").alias("src_labels"), F.array_join("dst_labels", ",").alias("dst_labels"), counts.alias("types"))
+
+
+def signature_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and signatures, counted by label pair: ids are unique over all of them."""
+    return ingest.node_pair_matches(_pairs(spark, d)).agg(F.count("*").alias("pairs"), F.count_distinct("pair_id").alias("signatures"))
+
+
+def edges_exploded(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.edges_matches(_pairs(spark, d)).groupBy("edge_type").agg(F.count("*").alias("edges"), F.count_distinct("edge_id").alias("ids"), F.count_distinct("nodes_match_id").alias("pairs"))
+
+
+def label_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.label_dictionary(_nodes(spark, d))
+
+
+def type_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.type_dictionary(_edges(spark, d))
+
+
+_BITMASK_TEXT = "MATCH (s:Supplier)-[:SHIPPED_A]->(p:Part:ECONOMY) RETURN s, p"
+
+
+def _domain(spark: SparkSession, d: str) -> DataFrame:
+    paired = _pairs(spark, d)
+    layout = signatures.load_layout(ingest.label_dictionary(_nodes(spark, d)), ingest.type_dictionary(_edges(spark, d)))
+    matrix = signatures.target_matrix(ingest.label_pairs(paired), layout)
+    return signatures.compatibility_domain(matrix, ingest.node_pair_matches(paired), signatures.query_matrix(parse(_BITMASK_TEXT), layout))
+
+
+def bitmask_domain(spark: SparkSession, d: str) -> DataFrame:
+    return _domain(spark, d).select("q1", "q2", "t1", "t2")
+
+
+def domain_restriction(spark: SparkSession, d: str) -> DataFrame:
+    rich = read(spark, d, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
+    return matching.restrict(_domain(spark, d), "s", rich).select("t1", "t2")
+
+
+def bitmask_sizes(spark: SparkSession, d: str) -> DataFrame:
+    layout = signatures.load_layout(ingest.label_dictionary(_nodes(spark, d)), ingest.type_dictionary(_edges(spark, d)))
+    matrix = signatures.target_matrix(ingest.label_pairs(_pairs(spark, d)), layout)
+    bits = F.aggregate("target_bitmask", F.lit(0), lambda a, x: a + F.bit_count(x))
+    return matrix.groupBy(bits.alias("bits")).agg(F.count("*").alias("signatures"))
+
+
+def natural_join(spark: SparkSession, d: str) -> DataFrame:
+    c, o, n = read(spark, d, "customer"), read(spark, d, "orders"), read(spark, d, "nation")
+    placed = o.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
+    return matching.natural_join([placed, c.select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n")), n.select(F.col("n_nationkey").alias("n"), "n_name")]).select("c", "o", "n", "n_name")
+
+
+# properties
+
+
+def _customer_records(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").join(priorities(read(spark, d, "orders")), "c_custkey", "left")
+    rich = (F.col("c_acctbal") > 5000).alias("rich")
+    return c.select(F.concat(F.lit("customer:"), "c_custkey").alias("node_id"), F.array(F.lit("Customer")).alias("labels"), F.struct("c_name", "c_acctbal", "c_nationkey", rich, "priorities").alias("static_props"))
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.unpivot(_customer_records(spark, d), "node_id", "static_props")
+
+
+def unpivot_static(spark: SparkSession, d: str) -> DataFrame:
+    return _long(spark, d).select("node_id", "property_name", "string_value", "numeric_value", F.array_join("string_values", ",").alias("string_values"))
+
+
+def pivot_typed(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {"c_name": P.Kind.STRING, "c_acctbal": P.Kind.DOUBLE, "priorities": P.Kind.STRINGS}
+    out = properties.load(_long(spark, d), "node_id", kinds)
+    return out.select("node_id", "c_name", "c_acctbal", F.array_join("priorities__array", ",").alias("priorities"))
+
+
+def pivot_untyped(spark: SparkSession, d: str) -> DataFrame:
+    ids = _long(spark, d).where("property_name = 'c_acctbal' and numeric_value < 0").select("node_id")
+    return properties.load_untyped(_long(spark, d), "node_id", ["rich", "c_nationkey"], ids).select("node_id", "rich__string", "c_nationkey__numeric")
+
+
+def _dynamic(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    start = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    records = e.select(F.concat(F.lit("customer:"), "user_id").alias("node_id"), F.struct("event_type", "value").alias("dynamic_props"), start.alias("from"), F.lit(None).cast("string").alias("to"))
+    return ingest.unpivot(records, "node_id", "dynamic_props")
+
+
+def unpivot_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    return _dynamic(spark, d).groupBy("property_name").agg(F.count("*").alias("n"), F.min("from").alias("first_from"), F.max("from").alias("last_from"), F.count("to").alias("n_to"), F.max("string_value").alias("top_string"), F.max("numeric_value").alias("top_number"))
+
+
+def properties_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return properties.valid_at(_dynamic(spark, d), "2024-01-15 00:00:00").groupBy("node_id", "property_name").agg(F.count("*").alias("n"))
+
+
+#: Tests beyond Cypher, each over the customers' properties: name, test, SQL condition over c_acctbal, c_mktsegment and p (list of priorities).
+_URGENT = "list_bool_and(list_transform(p, lambda x: x in ('1-URGENT','2-HIGH','5-LOW')))"
+_TESTS: dict[str, tuple[P.Property, str]] = {
+    "test_not_in": (P.not_in("priorities", "1-URGENT", "2-HIGH", "5-LOW"), f"p is not null and not {_URGENT}"),
+    "test_some_in": (P.some_in("priorities", "1-URGENT", "2-HIGH"), "list_bool_or(list_transform(p, lambda x: x in ('1-URGENT','2-HIGH')))"),
+    "test_contains_all": (P.contains("priorities", ["1-URGENT", "2-HIGH"]), "list_contains(p,'1-URGENT') and list_contains(p,'2-HIGH')"),
+    "test_not_contains_all": (P.Property("priorities", P.Op.NOT_CONTAINS, ("1-URGENT", "2-HIGH")), "p is not null and not (list_contains(p,'1-URGENT') and list_contains(p,'2-HIGH'))"),
+    "test_array_equals": (P.Property("priorities", P.Op.EQ, ("1-URGENT", "2-HIGH", "5-LOW")), "p = ['1-URGENT','2-HIGH','5-LOW']"),
+    "test_array_differs": (P.Property("priorities", P.Op.NE, ("1-URGENT", "2-HIGH", "5-LOW")), "p <> ['1-URGENT','2-HIGH','5-LOW']"),
+    "test_empty": (P.is_empty("priorities"), "len(p) = 0"),
+    "test_not_empty": (P.is_not_empty("priorities"), "len(p) > 0"),
+    "test_not_contains": (P.Property("c_mktsegment", P.Op.NOT_CONTAINS, "ILD"), "not contains(c_mktsegment,'ILD')"),
+    "test_in_numbers": (P.is_in("c_nationkey", 3, 4.0, 5), "c_nationkey in (3,4,5)"),
+    "test_not_null": (P.is_not_null("priorities"), "p is not null"),
+    "test_parsed": (P.parse_predicate("c.c_acctbal >= 5000").property, "c_acctbal >= 5000"),
+}
+
+
+def _tested(test: P.Property) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        frame, stored = star_graph(spark, d, True).domain({"Customer"}, {test.name})
+        return frame.where(P.compile_property(test, stored(test.name))).select("node_id")
+
+    return query
+
+
+def truth_table(spark: SparkSession, d: str) -> DataFrame:
+    """A driver-side library, shown as rows: the table of an expression and of its disjunctive form."""
+    e = bx.parse("(A & B) | !(C | D) & A")
+    form = bx.to_dnf(e)
+    rows = [(*(v[n] for n in "ABCD"), r, form.evaluate(v)) for v, r in bx.TruthTable(e).rows]
+    return spark.createDataFrame(rows, "a boolean, b boolean, c boolean, d boolean, result boolean, dnf boolean")
+
+
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    names = ("customer", "orders", "nation")
+    frames = [read(spark, d, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n")) for n in names]
+    return ingest.union(frames)
+
+
+def max_ids(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.max_id(read(spark, d, "orders"), "o_orderkey").select(F.col("max_id").cast("long").alias("max_id"))
+
+
+_CUSTOMERS = f"(select c.*, p from customer c left join {_LIST} l on l.o_custkey = c.c_custkey)"
+_OPERATORS: dict[str, tuple[Query, str]] = {
+    "ingest_pairs": (ingest_pairs, f"with {_EDGES_SQL} select source_id, target_id, array_to_string(edge_types, ',') edge_types, len(ids) n_edges from pairs"),
+    "signature_table": (signature_table, f"with {_EDGES_SQL}, d as (select distinct src_labels, dst_labels, edge_types from pairs) select array_to_string(src_labels, ',') src_labels, array_to_string(dst_labels, ',') dst_labels, array_to_string(list_transform(list_sort(list_distinct(edge_types)), lambda k: k || '=' || len(list_filter(edge_types, lambda x: x = k))), ',') as types from d"),
+    "signature_ids": (signature_ids, f"with {_EDGES_SQL} select count(*) pairs, count(distinct (src_labels, dst_labels, edge_types)) signatures from pairs"),
+    "edges_exploded": (edges_exploded, f"with {_EDGES_SQL} select edge_type, count(*) edges, count(distinct edge_id) ids, count(distinct (source_id, target_id)) pairs from edges group by 1"),
+    "label_dictionary": (label_dictionary, f"with {_EDGES_SQL}, l as (select distinct unnest(labels) as label from nodes) select (row_number() over (order by label) - 1)::int label_id, label from l"),
+    "type_dictionary": (type_dictionary, f"with {_EDGES_SQL}, t as (select distinct edge_type from edges) select (row_number() over (order by edge_type) - 1)::int type_id, edge_type from t"),
+    "bitmask_domain": (bitmask_domain, "select distinct 's' q1, 'p' q2, 'supplier:'||l_suppkey t1, 'part:'||l_partkey t2 from lineitem join supplier on s_suppkey=l_suppkey join part on p_partkey=l_partkey where l_returnflag='A' and p_type='ECONOMY'"),
+    "domain_restriction": (domain_restriction, "select distinct 'supplier:'||l_suppkey t1, 'part:'||l_partkey t2 from lineitem join supplier on s_suppkey=l_suppkey join part on p_partkey=l_partkey where l_returnflag='A' and p_type='ECONOMY' and s_acctbal > 5000"),
+    "bitmask_sizes": (bitmask_sizes, f"with {_EDGES_SQL}, d as (select distinct src_labels, dst_labels, edge_types from pairs) select (len(src_labels) + len(dst_labels) + len(list_distinct(edge_types)))::int bits, count(*) signatures from d group by 1"),
+    "natural_join": (natural_join, "select c_custkey c, o_orderkey o, n_nationkey n, n_name from orders join customer on c_custkey=o_custkey join nation on n_nationkey=c_nationkey where o_totalprice > 450000"),
+    "unpivot_static": (
+        unpivot_static,
+        f"with c as (select 'customer:'||c_custkey node_id, * from {_CUSTOMERS}) select node_id, 'c_name' property_name, c_name string_value, null::double numeric_value, null::varchar string_values from c union all select node_id, 'c_acctbal', null, c_acctbal, null from c union all select node_id, 'c_nationkey', null, c_nationkey::double, null from c union all select node_id, 'rich', (c_acctbal > 5000)::varchar, null, null from c union all select node_id, 'priorities', null, null, array_to_string(list_sort(p), ',') from c where p is not null",
+    ),
+    "pivot_typed": (pivot_typed, f"select 'customer:'||c_custkey node_id, c_name, c_acctbal, array_to_string(list_sort(p), ',') priorities from {_CUSTOMERS}"),
+    "pivot_untyped": (pivot_untyped, "select 'customer:'||c_custkey node_id, (c_acctbal > 5000)::varchar rich__string, c_nationkey::double c_nationkey__numeric from customer where c_acctbal < 0"),
+    "unpivot_dynamic": (unpivot_dynamic, "select 'event_type' property_name, count(event_type) n, min(ts) first_from, max(ts) last_from, 0::bigint n_to, max(event_type) top_string, null::double top_number from events union all select 'value', count(value), min(ts), max(ts), 0, null, max(value) from events where value is not null"),
+    "properties_as_of": (properties_as_of, "select 'customer:'||user_id node_id, unnest(['event_type','value']) property_name, count(*) n from events where ts <= timestamp '2024-01-15 00:00:00' group by user_id"),
+    "truth_table": (truth_table, "with v(x) as (values (false),(true)) select a.x a, b.x b, c.x c, d.x d, (a.x and b.x) or (not (c.x or d.x) and a.x) as result, (a.x and b.x) or (not (c.x or d.x) and a.x) as dnf from v a, v b, v c, v d"),
+    "table_counts": (table_counts, "select 'customer' table_name, count(*) n from customer union all select 'orders', count(*) from orders union all select 'nation', count(*) from nation"),
+    "max_ids": (max_ids, "select max(o_orderkey) max_id from orders"),
+    **{name: (_tested(test), f"select 'customer:'||c_custkey node_id from {_CUSTOMERS} where {sql}") for name, (test, sql) in _TESTS.items()},
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    out = {name: _match(text) for name, (text, _) in MATCHES.items()}
+    out |= {name: _match(text, True) for name, (text, _) in ARRAY_MATCHES.items()}
+    return out | {name: query for name, (query, _) in _OPERATORS.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for group in (MATCHES, ARRAY_MATCHES) for name, (_, sql) in group.items()} | {name: sql for name, (_, sql) in _OPERATORS.items()}
