@@ -96,7 +96,7 @@ def offshore_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_mail(spark: SparkSession, folder: str) -> DataFrame:
     """(path, value) of the message files below a folder: those whose names end in a dot or a digit."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).withColumn("path", F.input_file_name())
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
     return files.where(F.col("path").rlike(r"[.\d]$"))
 
 
