@@ -123,7 +123,11 @@ def parse_mail(messages: DataFrame) -> DataFrame:
 def mail_graph(mails: DataFrame) -> tuple[DataFrame, DataFrame]:
     """People by address, and TO, CC and BCC edges with the message's time; each edge once."""
     types = {"TO": "recipients", "CC": "cc", "BCC": "bcc"}
-    each = F.concat(*[F.transform(c, lambda x, t=t: F.struct(F.lit(t).alias("edge_type"), x.alias("target_id"))) for t, c in types.items()])
+
+    def typed(kind: str, people: str) -> Column:
+        return F.transform(people, lambda x: F.struct(F.lit(kind).alias("edge_type"), x.alias("target_id")))
+
+    each = F.concat(*[typed(t, c) for t, c in types.items()])
     edges = mails.select(F.col("sender").alias("source_id"), "timestamp", F.explode(each).alias("e")).select("source_id", "e.*", "timestamp")
     people = edges.select(F.explode(F.array("source_id", "target_id")).alias("email")).distinct()
     keyed = edges.where("source_id <> target_id").withColumn("edge_id", F.sha2(F.to_json(F.struct("source_id", "target_id", "edge_type", "timestamp")), 256)).dropDuplicates(["edge_id"])
