@@ -198,7 +198,7 @@ def _ask(rows: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             key, count, bucket = key[order], count[order], bucket[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(at, [*at[1:], len(key)], strict=True):
+            for a, b in zip(at, [*at[1:], len(key)][: len(at)], strict=True):
                 out.append((2 * int(bucket[a]) + kind, block, key[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()))
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), _ASK, strict=True)], schema=_ASK)
 

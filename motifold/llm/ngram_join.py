@@ -31,7 +31,7 @@ from motifold.llm.text import LOWER, Hashes, column_bytes, mix, slices, word_spa
 
 U = np.uint64
 #: Bytes of text handled at once, sets in a tile, leaders of a large cluster, documents for each bucket of segments.
-PART, TILE, LEADERS, DOCS_A_BUCKET = 1 << 20, 100, 16, 1 << 13
+PART, TILE, LEADERS, DOCS_A_BUCKET = 1 << 19, 100, 16, 1 << 11
 #: Sets of one part of the input in which a shingle must be to count as common there, and how many common shingles are told to all tasks at most.
 OFTEN, COMMON = 4, 1 << 17
 
@@ -194,7 +194,7 @@ def _candidates(docs: DataFrame, words: int, percent: int, buckets: int, common:
                 keys.append(key)
                 nodes.append(ids[i:j][owner])
                 held += len(key)
-                if held > 2_000_000:
+                if held > 700_000:
                     yield from flush(keys, nodes)
                     keys, nodes, held = [], [], 0
         if held:
@@ -294,7 +294,7 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets.size), pa.array(one), pa.array(two), none, none], names=names)
                 values.append(sets.value)
                 held += len(sets.value)
-                if held > 2_000_000:
+                if held > 1_500_000:
                     yield common(values)
                     values, held = [], 0
         if held:

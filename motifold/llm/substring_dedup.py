@@ -103,7 +103,7 @@ def _texts(rows: DataFrame, shards: int, length: int) -> DataFrame:
             head = np.stack([anchor[which] ^ (block * 0x632BE59BD9B4E019), key[which], start[which] + begin, end - begin, several[which]], axis=1)
             order = np.argsort(shard, kind="stable")
             edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            for a, b in zip(edges, [*edges[1:], len(order)][: len(edges)], strict=True):
                 own = order[a:b]
                 texts = [data[(s := offsets[owner[which[k]]] + head[k, 2]) : s + head[k, 3] + length - 1].tobytes() for k in own]
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[own[0]])]), pa.array([head[own].tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary())], names=["shard", "head", "texts"])

@@ -139,7 +139,7 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
         for batch in batches:
             pivot = batch.column(4).to_numpy()
             edges = np.flatnonzero(np.diff(pivot, prepend=-1))
-            for a, b in zip(edges, [*edges[1:], len(pivot)], strict=True):
+            for a, b in zip(edges, [*edges[1:], len(pivot)][: len(edges)], strict=True):
                 for i in range(a, b, CELL):
                     part = batch.slice(i, min(CELL, b - i))
                     matrix, distance = _matrix(part.column(1), width), part.column(5).to_numpy()
