@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, text and label of at most `most` rows of each label among the labelled rows where `learn` holds, the first by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: tuple[int, int], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, text and label of at most most[y] rows of label y among the labelled rows where `learn` holds, the first by a hash of the id.
 
-    Labels other than 0 and 1 and null ids are left out. The ids of the sample, at most twice `most`, are what is broadcast.
+    Labels other than 0 and 1 and null ids are left out. The ids of the sample, at most sum(most), are what is broadcast.
     """
     known = labels.where(learn & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label"))
-    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
+    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most[y]) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1]).dropDuplicates(["id"])
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     return rows.join(F.broadcast(picked), "id")

@@ -4,7 +4,7 @@ A text is a bag of sentences (ended by . ! ? or a line break); a sentence is the
 what they begin with, hashed to 2**BITS weights. A sentence is toxic with the logistic of the sum of its weights, a document with the noisy-or over its sentences,
 1 - prod(1 - p). Only documents have labels, and the loss on these trains the sentence model, which then also tells where a text offends.
 
-It is fitted on at most `most` documents of each label. With only one label among them, all scores are 1 for label 1, else 0.
+It is fitted on at most `most` documents of labels 0 and 1. With only one label among them, all scores are 1 for label 1, else 0.
 A null or empty text has no sentence and the score 0. Every row gets one row.
 """
 
@@ -53,24 +53,23 @@ class Model:
         self.bias, self.weight = -30.0, np.zeros(1 << BITS, np.float32)
         if self.constant is not None:
             return
-        counts = [int(s.max()) + 1 if len(s) else 0 for _, s in bags]
-        first = np.cumsum([0, *counts])
-        place = np.concatenate([p for p, _ in bags])
-        sentence = np.concatenate([s + f for (_, s), f in zip(bags, first[:-1], strict=True)])
-        text = np.repeat(np.arange(len(bags)), counts)
-        total = int(first[-1])
-        seen = np.unique(text[sentence] * np.int64(1 << BITS) + place)
-        of, where = seen & ((1 << BITS) - 1), seen >> BITS
-        toxic = np.bincount(of, label[where], 1 << BITS)
-        often = np.bincount(of, minlength=1 << BITS)
+        toxic, often = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for (p, _), y in zip(bags, label, strict=True):
+            words = np.unique(p)
+            often[words] += 1
+            toxic[words] += y
         many, few = label.sum(), len(label) - label.sum()
         lift = np.log((toxic + 0.3) / (many + 0.6)) - np.log((often - toxic + 0.3) / (few + 0.6))
         used = often >= least
         penalty = support / len(bags)
         weight = np.where(used & (lift > 1) & (toxic >= 3), 1.5 * lift, 0.0)
         bias = -6.0
-        keep = used[place]
-        place, sentence = place[keep], sentence[keep]
+        counts = [int(s.max()) + 1 if len(s) else 0 for _, s in bags]
+        first = np.cumsum([0, *counts])
+        kept = [used[p] for p, _ in bags]
+        place = np.concatenate([p[k] for (p, _), k in zip(bags, kept, strict=True)])
+        sentence = np.concatenate([s[k] + np.int32(f) for (_, s), k, f in zip(bags, kept, first[:-1], strict=True)])
+        text, total = np.repeat(np.arange(len(bags)), counts), int(first[-1])
         step, moment, scale = 0.08, np.zeros(len(weight) + 1), np.full(len(weight) + 1, 1e-10)
         for _ in range(rounds):
             z = np.clip(bias + np.bincount(sentence, weight[place], total), -30, 30)
@@ -98,7 +97,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(sentence, self.weight[place], count), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = 3000, id_column: str = "doc_id", text_column: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: tuple[int, int] = (3000, 1500), id_column: str = "doc_id", text_column: str = "text") -> Model:
     small_batches(docs.sparkSession)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int
     rows = sample(docs, labels, label, learn, most, id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
     got = rows.mapInArrow(each, f"id {kind}, label int, place binary, sentence binary").orderBy("id").collect()
-    bags = [(np.frombuffer(r["place"], np.int32).astype(np.int64), np.frombuffer(r["sentence"], np.int32).astype(np.int64)) for r in got]
+    bags = [(np.frombuffer(r["place"], np.int32), np.frombuffer(r["sentence"], np.int32)) for r in got]
     return Model(bags, np.array([r["label"] for r in got]))
 
 
