@@ -117,9 +117,15 @@ class Matcher:
             return P.compile_property(c.property, self.columns[c.variable, c.property.name])
         return P.compile_comparison(c.op, self.columns[c.left, c.left_property], self.columns[c.right, c.right_property])
 
+    @property
+    def _may_repeat(self) -> bool:
+        """Node ids are keys and candidates are distinct, so bindings repeat only where a variable is projected away."""
+        return len(self.pattern.named_nodes) < len(self.pattern.nodes)
+
     def bindings(self) -> DataFrame:
         """The set of bindings of the named nodes."""
-        return self.joined().select(*[F.col(f"`{v}`") for v in self.pattern.named_nodes]).distinct()
+        out = self.joined().select(*[F.col(f"`{v}`") for v in self.pattern.named_nodes])
+        return out.distinct() if self._may_repeat else out
 
     def projected(self) -> DataFrame:
         """What RETURN asks for, over the set of bindings."""
@@ -129,7 +135,8 @@ class Matcher:
                 raise ValueError(f"edge {item.variable} can't be returned: results bind nodes")
         carried = [c for (v, _), s in self._with_columns().items() if v in self.pattern.named_nodes for c in s.columns()]
         rows = self._rows.select(*[F.col(f"`{v}`") for v in self.pattern.named_nodes], *carried)
-        rows = rows.dropDuplicates(self.pattern.named_nodes)
+        if self._may_repeat:
+            rows = rows.dropDuplicates(self.pattern.named_nodes)
         names = [i.name for i in returned.items]
         values = [self._value(i.variable, i.prop).alias(i.name) for i in returned.items]
         by = {i.name: i for i in returned.items}
