@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, and the text that they decode to."""
-    return bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    return bpe.code(docs, vocabulary())
 
 
 STAGES = [("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", scan), ("mixing sources", mix), ("BPE encoding and decoding", encode)]

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.shared import small_batches
-from motifold.llm.text import column_bytes, slices
+from motifold.llm.text import column_bytes, release, slices
 
 #: The pre-tokenizer's fixed pattern, with white space spelt out as the property that it stands for there.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-PART, CACHE = 1 << 20, 1 << 17
+PART, CACHE = 1 << 19, 1 << 17
 
 
 def _characters() -> dict[str, int]:
@@ -196,6 +196,27 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     return rows.mapInArrow(each, f"id {kind}, ids array<int>").withColumnRenamed("id", id_column)
 
 
+def code(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, ids, and the text that the ids decode to, of each row of docs: encode() and decode() in one pass, by one worker."""
+    small_batches(docs.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            offsets = column_bytes(batch.column(1))[1]
+            for i, j in slices(offsets, PART):
+                part = batch.slice(i, j - i)
+                ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
+                edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                texts = [own.decode(x).decode("utf-8", "replace") for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ids))), pa.array(texts, pa.string())], names=["id", "ids", "text"])
+        release()
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(each, f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_column)
+
+
 def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """id, ids and text for each row of tokens, as encode() makes them; bytes that are no UTF-8 become U+FFFD."""
     small_batches(tokens.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.shared import components, small_batches, written
-from motifold.llm.text import LOWER, Hashes, column_bytes, mix, slices, word_spans
+from motifold.llm.text import LOWER, Hashes, column_bytes, mix, release, slices, word_spans
 
 U = np.uint64
 #: Bytes of text handled at once, sets in a tile, leaders of a large cluster, documents for each bucket of segments.
@@ -164,7 +164,37 @@ def _chains(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[new], node[new], edges[0], edges[1]
 
 
-_BLOB = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("node", pa.binary())])
+_BLOB = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("node", pa.binary()), ("low", pa.binary())])
+
+
+def _lowest(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes in order, and the two smallest keys of each (the same twice where it has one)."""
+    order = np.lexsort((key, node))
+    key, node = key[order], node[order]
+    at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+    after = np.minimum(at + 1, np.append(at[1:], len(node)) - 1)
+    return node[at], np.stack([key[at], key[after]], axis=1)
+
+
+def _meet(key: np.ndarray, node: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest node of each key to its other nodes.
+
+    Two nodes that also share a smaller key among their two smallest are connected where that key is met, so that most pairs
+    are connected once rather than in each of the buckets in which they meet.
+    """
+    order = np.lexsort((node, key))
+    key, node, low = key[order], node[order], low[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    other = np.flatnonzero(~new & (node[head] != node))
+    known = np.zeros(len(other), bool)
+    for x in (0, 1):
+        for y in (0, 1):
+            known |= (low[other, x] == low[head[other], y]) & (low[other, x] < key[other])
+    other = other[~known]
+    edges = np.unique(np.stack([node[head[other]], node[other]]), axis=1) if len(other) else np.zeros((2, 0), np.int64)
+    return edges[0], edges[1]
 
 
 def _candidates(docs: DataFrame, words: int, percent: int, buckets: int, common: np.ndarray) -> DataFrame:
@@ -174,15 +204,18 @@ def _candidates(docs: DataFrame, words: int, percent: int, buckets: int, common:
     """
 
     def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
-        key, node, a, b = _chains(np.concatenate(keys), np.concatenate(nodes))
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        names, lowest = _lowest(key, node)
+        key, node, a, b = _chains(key, node)
         bucket = (key >> U(20)) % U(buckets)
         order = np.lexsort((node, bucket))
         bucket, key, node = bucket[order], key[order], node[order]
+        low = lowest[np.searchsorted(names, node)]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-        rows = [(int(bucket[i]), key[i:j].tobytes(), node[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(key)], strict=True)]
+        rows = [(int(bucket[i]), key[i:j].tobytes(), node[i:j].tobytes(), low[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(key)], strict=True)]
         if len(a):
-            rows.append((-1 - int(a[0]) % buckets, a.tobytes(), b.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _BLOB, strict=True)], schema=_BLOB) if rows else pa.RecordBatch.from_pylist([], _BLOB)
+            rows.append((-1 - int(a[0]) % buckets, a.tobytes(), b.tobytes(), b""))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _BLOB, strict=True)], schema=_BLOB)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
@@ -199,17 +232,19 @@ def _candidates(docs: DataFrame, words: int, percent: int, buckets: int, common:
                     keys, nodes, held = [], [], 0
         if held:
             yield from flush(keys, nodes)
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
-        first, second = (table.column(c).to_pylist() for c in ("key", "node"))
-        passed = table.column("bucket")[0].as_py() < 0
-        if passed:
-            a, b = (np.frombuffer(b"".join(x), np.int64) for x in (first, second))
+        first, second, third = (b"".join(table.column(c).to_pylist()) for c in ("key", "node", "low"))
+        if table.column("bucket")[0].as_py() < 0:
+            a, b = np.frombuffer(first, np.int64), np.frombuffer(second, np.int64)
         else:
-            _, _, a, b = _chains(np.frombuffer(b"".join(first), U), np.frombuffer(b"".join(second), np.int64))
-        return pa.table({"a": a, "b": b})
+            a, b = _meet(np.frombuffer(first, U), np.frombuffer(second, np.int64), np.frombuffer(third, U).reshape(-1, 2))
+        out = pa.table({"a": a, "b": b})
+        release()
+        return out
 
-    return docs.mapInArrow(cut, "bucket long, key binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return docs.mapInArrow(cut, "bucket long, key binary, node binary, low binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def _link(sizes: np.ndarray, value: np.ndarray, owner: np.ndarray, percent: int, fragments: int = 16) -> np.ndarray:
@@ -266,6 +301,7 @@ def _hashes(docs: DataFrame, words: int) -> DataFrame:
                 blobs = [sets.value[a:b].tobytes() for a, b in zip(sets.edges[:-1], sets.edges[1:], strict=True)]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), *part.columns[2:]], names=["id", "hashes", *rest])
+        release()
 
     kinds = dict(docs.dtypes)
     return docs.mapInArrow(each, "id long, hashes binary" + "".join(f", {c} {kinds[c]}" for c in rest))
@@ -299,6 +335,7 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                     values, held = [], 0
         if held:
             yield common(values)
+        release()
 
     return docs.mapInArrow(each, "id long, n long, one long, two long, key array<long>, count array<long>")
 

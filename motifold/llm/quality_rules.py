@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from motifold.llm.shared import small_batches
 from motifold.llm.suffix import MOST, common_prefixes, neighbours, suffix_array
-from motifold.llm.text import Hashes, column_bytes, slices, word_spans
+from motifold.llm.text import Hashes, column_bytes, release, slices, word_spans
 
 SPAN, COVERED, LONGEST = 8, 40, 200
 #: Bytes of text handled at once; a longer text alone.
-PART = 1 << 19
+PART = 1 << 18
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
@@ -132,6 +132,7 @@ def rate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             counts = measure(*column_bytes(batch.column(1)), span, longest)
             failed, kept = verdicts(counts, covered, longest)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(failed), pa.array(kept)], names=["id", *COUNTS, "base_failed", "kept"])
+        release()
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -147,5 +148,6 @@ def keep(docs: DataFrame, text_column: str = "text", span: int = SPAN, covered:
         for batch in batches:
             kept = verdicts(measure(*column_bytes(batch.column(place)), span, longest), covered, longest)[1]
             yield batch.filter(pa.array(kept))
+        release()
 
     return docs.mapInArrow(each, docs.schema)

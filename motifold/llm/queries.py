@@ -26,7 +26,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(_documents(spark, sf_dir), vocabulary()), vocabulary())
+    coded = bpe.code(_documents(spark, sf_dir), vocabulary())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
@@ -79,7 +79,6 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 #: What DuckDB can express; the rest is tested against brute force.
 _ORACLES = {
-    "op4_secrets": None,
     "op5_mixing": rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size, length(coalesce(text, '')) as n,
         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) as junk,
@@ -124,4 +123,4 @@ select z.doc_id, z.n as n_shingles, min(r.c) as component_id from z join r using
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in _ORACLES.items() if v}
+    return dict(_ORACLES)

@@ -6,6 +6,7 @@ A null text counts as an empty one. Words are runs of bytes other than 0x20 and
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,3 +85,11 @@ class Hashes:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Empty spans hash to the same value. Spans of equal bytes hash equally wherever they stand."""
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

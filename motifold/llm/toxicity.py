@@ -97,7 +97,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(sentence, self.weight[place], count), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: tuple[int, int] = (3000, 1500), id_column: str = "doc_id", text_column: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: tuple[int, int] = (1500, 1000), id_column: str = "doc_id", text_column: str = "text") -> Model:
     small_batches(docs.sparkSession)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
