@@ -77,8 +77,49 @@ def queries() -> dict:
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+def _secrets_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def found(pattern: str) -> str:
+        """Start, end and text of a pattern's matches, from the pieces between them."""
+        p = quote(pattern)
+        pieces, matches = f"string_split_regex(text, {p})", f"regexp_extract_all(text, {p})"
+        before = f"list_sum(list_transform({pieces}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({matches}[1:i-1], lambda x: length(x))), 0)"
+        return f"list_transform(range(1, len({matches}) + 1), lambda i: {{'s': ({before})::int, 'e': ({before} + length({matches}[i]))::int, 'v': {matches}[i]}})"
+
+    def kept(pattern: str, group: int, least: int) -> str:
+        return f"list_filter({found(pattern)}, lambda x: length(regexp_extract(x.v, {quote(pattern)}, {group})) >= {least})"
+
+    base = ", ".join(f"{kept(p, g, n)} as {k}" for k, p, g, n in secrets.PATTERNS)
+    alphabet = "case " + " ".join(f"when regexp_matches(v, {quote(p)}) then {quote(a)}" for p, a in secrets.ALPHABETS[:-1]) + f" else {quote(secrets.ALPHABETS[-1][1])} end"
+    tail = lambda z: f"(1 / (1 + exp(least(700, greatest(-700, 1.5976 * ({z}) + 0.070566 * ({z}) * ({z}) * ({z}))))))"
+    tagged = lambda k, o: f"list_transform({k}, lambda x: {{'s': x.s, 'o': {o}, 'kind': '{k}', 'e': x.e}})"
+    join = lambda x: f"array_to_string(list_transform({x}, lambda x: x.kind || ':' || x.s || ':' || x.e), ',')"
+    products = "list_transform(range(1, n), lambda i: (d[i] - mean) * (d[i + 1] - mean))"
+    return f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+a as (select doc_id, {base}, list_filter({found(secrets.CANDIDATE)}, lambda x: regexp_matches(x.v, '[0-9]') and regexp_matches(x.v, '[A-Za-z]') and length(regexp_replace(x.v, '=+$', '')) >= 20) as drawn from t),
+b as (select *, list_sort(list_concat(list_concat({tagged("assign", 0)}, {tagged("access", 1)}), {tagged("hex", 2)})) as base from a),
+c as (select doc_id, x.s as s, x.e as e, x.v as v from (select doc_id, base, unnest(drawn) as x from b) where len(list_filter(base, lambda y: y.s < x.e and x.s < y.e)) = 0),
+d as (select *, {alphabet} as alphabet, regexp_replace(v, '=+$', '') as run from c),
+e as (select *, length(run) as n, length(alphabet) as k, list_transform(string_split(run, ''), lambda x: instr(alphabet, x)::double) as d from d),
+f as (select *, list_sum(d) / n as mean, list_sum(list_transform(list_distinct(d), lambda y: pow(len(list_filter(d, lambda z: z = y)), 2))) as squares, len(list_filter(d, lambda y: y > k / 2.0)) as up,
+        1 + coalesce(list_sum(list_transform(range(1, n), lambda i: case when (d[i] > k / 2.0) <> (d[i + 1] > k / 2.0) then 1 else 0 end)), 0) as runs from e),
+g as (select *, (pow(greatest(0.0, k * squares / n - n) / (k - 1), 1.0 / 3) - (1 - 2.0 / (9 * (k - 1)))) / sqrt(2.0 / (9 * (k - 1))) as za,
+        case when up = 0 or up = n then sqrt(n) else (runs - (2.0 * up * (n - up) / n + 1)) / sqrt(greatest(0.01, 2.0 * up * (n - up) * (2.0 * up * (n - up) - n) / (1.0 * n * n * (n - 1)))) end as zb,
+        sqrt(n) * list_sum({products}) / greatest(0.01, list_sum(list_transform(d, lambda y: (y - mean) * (y - mean)))) as zc from f),
+h as (select *, -(ln(greatest(1e-300, {tail("za")})) + ln(greatest(1e-300, least(1.0, 2 * {tail("abs(zb)")}))) + ln(greatest(1e-300, least(1.0, 2 * {tail("abs(zc)")})))) as half from g),
+i as (select doc_id, s, e, floor(log2(e - s))::int as stratum, least({secrets.BINS}, floor(100 * (half - ln(1 + half + half * half / 2)) / ln(10.0)))::int as bin from h),
+j as (select stratum, bin, count(*) as many from i group by all),
+l as (select stratum, min(bin) as bin from (select *, sum(many) over (partition by stratum order by bin desc) as k, sum(many) over (partition by stratum) as m from j) where pow(10.0, -bin / 100.0) <= 0.05 * k / m group by stratum),
+r as (select doc_id, list({{'s': s, 'o': 3, 'kind': 'random', 'e': e}}) as random from i left join l using (stratum) where l.bin is null or i.bin < l.bin group by doc_id)
+select doc_id, len(assign)::bigint as n_assign, len(access)::bigint as n_access, len(hex)::bigint as n_hex, sha256({join("base")}) as base_sha256,
+    {join("list_sort(list_concat(base, coalesce(random, [])))")} as spans from b left join r using (doc_id)"""
+
+
 #: What DuckDB can express; the rest is tested against brute force.
 _ORACLES = {
+    "op4_secrets": _secrets_sql(),
     "op5_mixing": rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size, length(coalesce(text, '')) as n,
         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) as junk,

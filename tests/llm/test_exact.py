@@ -158,6 +158,7 @@ def test_bpe_round_trip(spark, library):
     docs = awkward(spark, most=40)
     path = queries.vocabulary()
     coded = bpe.decode(bpe.encode(docs, path), path).collect()
+    assert sorted(map(tuple, bpe.code(docs, path).collect())) == sorted(map(tuple, coded))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(coded) == docs.count()
     for r in coded:
@@ -402,3 +403,18 @@ def test_linked_sets_share_a_segment(size, percent, seed):
     sets.value, sets.owner, sets.size = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)])
     key, owner = ngram_join.segments(sets, percent, common)
     assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+
+
+def test_secrets_sql(spark):
+    import duckdb
+
+    r = random.Random(9)
+    pools = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ab1", "thequickbrown7"]
+    rows = [(k, " ".join("".join(r.choice(pool) for _ in range(r.randrange(18, 70))) + r.choice(["", "=", "=="]) for pool in pools)) for k in range(60)] + [(100 + k, t) for k, t in enumerate(ODD)]
+    found = secrets.scan(table(spark, rows)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.expr(secrets.digest("base")), 256), F.expr(secrets.digest("spans")))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.execute(queries.oracle_sql()["op4_secrets"]).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert any("random" in x[-1] for x in want)
