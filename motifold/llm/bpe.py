@@ -12,9 +12,9 @@ A null or empty text has no tokens. Text is never truncated. Every row gets one
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -79,7 +79,7 @@ class Encoder:
         #: The bytes of all tokens in the order of their ids, and where each begins.
         self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(max(tokens) + 1)), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(tokens.get(i, b"")) for i in range(max(tokens) + 1)])])
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the boundary between tokens a and b outlasts every merge inside and across them.
@@ -149,21 +149,24 @@ class Encoder:
             at = m.end()
         yield self.pattern.findall(text[at:] if at else text)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text. The cache holds each piece's ids as bytes, so that joining them needs no object for each id."""
+        out: list[bytes] = []
         cache = self.cache
         for part in self.words(text):
             if isinstance(part, int):
-                out.append(part)
+                out.append(np.int32(part).tobytes())
                 continue
-            if len(cache) + len(part) > CACHE and len(cache) + len(set(part)) > CACHE:
+            pieces = set(part)
+            if len(cache) + len(pieces) > CACHE:
                 cache.clear()
-            for word in set(part).difference(cache):
-                cache[word] = self.piece(word.encode())
-            out += chain.from_iterable(map(cache.__getitem__, part))
-            for word in {w for w in part if len(w) > 64}:
-                del cache[word]
-        return out
+            for word in pieces.difference(cache):
+                cache[word] = array("i", self.piece(word.encode())).tobytes()
+            out.append(b"".join(map(cache.__getitem__, part)))
+            for word in pieces:
+                if len(word) > 64:
+                    del cache[word]
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes, gathered from the offset table."""
@@ -187,7 +190,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
             offsets = column_bytes(batch.column(1))[1]
             for i, j in slices(offsets, PART):
                 part = batch.slice(i, j - i)
-                ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
+                ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
                 edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ids)))], names=["id", "ids"])
 
@@ -206,7 +209,7 @@ def code(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str
             offsets = column_bytes(batch.column(1))[1]
             for i, j in slices(offsets, PART):
                 part = batch.slice(i, j - i)
-                ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
+                ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
                 edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 texts = [own.decode(x).decode("utf-8", "replace") for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ids))), pa.array(texts, pa.string())], names=["id", "ids", "text"])
