@@ -27,7 +27,7 @@ from motifold.llm.shared import small_batches, written
 
 #: Pivots, vectors in the samples for pivots and for first thresholds, in a cell, cells in a group, queries in a block.
 PIVOTS, SAMPLE, LARGEST, CELL, GROUP, BLOCK = 16, 1024, 512, 512, 16, 256
-#: Groups up to which their bounds are sent to all tasks; beyond that each block goes to every group and is tested there.
+#: Groups up to which their bounds are sent to all tasks; beyond that blocks are crossed with the table of all groups, and tested there.
 GROUPS_SENT = 10_000
 
 
@@ -148,11 +148,14 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
 
     cells = written(sorted_.mapInArrow(pack, "pivot long, low double, high double, most double, ids binary, vectors binary, queries binary").withColumn("group", F.spark_partition_id().cast("long")), "cells")
     bounds = cells.groupBy("group", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"))
-    groups = sorted(r[0] for r in cells.select("group").distinct().limit(GROUPS_SENT + 1).collect())
-    known = [tuple(r) for r in bounds.collect()] if len(groups) <= GROUPS_SENT else None
+    few = cells.select("group").distinct().limit(GROUPS_SENT + 1).count() <= GROUPS_SENT
+    known = [tuple(r) for r in bounds.collect()] if few else None
+
+    def asking(group: int, name: np.ndarray, block: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"group": group, "ids": name.tobytes(), "vectors": block.astype(np.int32).tobytes(), "least": least.tobytes()}], _ASKED)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of queries, once for each group that may hold one of their best."""
+        """Blocks of queries, once for each group that may hold one of their best; where the groups are not known, once for all."""
         for batch in batches:
             ids, vectors = [], []
             for name, data, at in zip(*(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True):
@@ -164,17 +167,34 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
                 name, block = names_[i : i + BLOCK], matrix[i : i + BLOCK]
                 score = np.where(name[:, None] != large_ids[None, :], _scores(block, large_vectors), np.iinfo(np.int64).min)
                 least = np.sort(score, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(name), np.iinfo(np.int64).min)
+                if known is None:
+                    yield asking(-1, name, block, least)
+                    continue
                 norm, distance = np.sqrt((block.astype(np.float64) ** 2).sum(axis=1)), _distances(block, pivots)
                 able: dict[int, np.ndarray] = {}
-                for group, pivot, low, high, most in known or ():
+                for group, pivot, low, high, most in known:
                     near = _bound(norm, distance[:, pivot], low, high, most) >= least
                     able[group] = able.get(group, False) | near
-                for group in groups if known is None else sorted(able):
-                    near = np.ones(len(name), bool) if known is None else able[group]
+                for group, near in sorted(able.items()):
                     if near.any():
-                        yield pa.RecordBatch.from_pylist([{"group": group, "ids": name[near].tobytes(), "vectors": block[near].astype(np.int32).tobytes(), "least": least[near].tobytes()}], _ASKED)
+                        yield asking(group, name[near], block[near], least[near])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of blocks beside a group and its bounds, the queries that the group may hold one of the best of."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                name, least = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["least"], np.int64)
+                block = np.frombuffer(r["vectors"], np.int32).reshape(-1, width).astype(np.int64)
+                norm, distance = np.sqrt((block.astype(np.float64) ** 2).sum(axis=1)), _distances(block, pivots)
+                near = np.any([_bound(norm, distance[:, b["pivot"]], b["low"], b["high"], b["most"]) >= least for b in r["bounds"]], axis=0)
+                if near.any():
+                    yield asking(r["group"], name[near], block[near], least[near])
 
     asked = cells.mapInArrow(ask, "group long, ids binary, vectors binary, least binary")
+    if known is None:
+        every = bounds.groupBy("group").agg(F.collect_list(F.struct("pivot", "low", "high", "most")).alias("bounds"))
+        crossed = written(asked.drop("group"), "asked").crossJoin(written(every, "groups"))
+        asked = crossed.select("group", "ids", "vectors", "least", "bounds").mapInArrow(meet, "group long, ids binary, vectors binary, least binary")
 
     def answer(own: pa.Table, queries: pa.Table) -> pa.Table:
         held = [r | {"ids": np.frombuffer(r["ids"], np.int64), "vectors": np.frombuffer(r["vectors"], np.int32).reshape(-1, width).astype(np.int64)} for r in own.to_pylist()]

@@ -340,6 +340,20 @@ def test_topk(spark):
     assert sorted(map(tuple, topk.search(few, F.col("vec_id") % 20 == 0).collect())) == [(0, 1, 1, 8192), (0, 2, 1, 8192)]
 
 
+def test_topk_beyond_the_groups_sent(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", 8)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "GROUPS_SENT", 3)
+    x = np.random.default_rng(5).integers(-40, 40, (600, 8))
+    frame = table(spark, [(k, (v / 64).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = []
+    for q in range(0, 600, 20):
+        score = x @ x[q]
+        best = [k for k in np.lexsort((np.arange(600), -score)) if k != q][:20]
+        want += [(q, rank + 1, int(k), int(score[k])) for rank, k in enumerate(best)]
+    assert sorted(map(tuple, topk.search(frame, F.col("vec_id") % 20 == 0).collect())) == want
+
+
 # 10
 
 
