@@ -395,8 +395,23 @@ def _left_apart(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each component does, the one with the smallest id.
-    Of rows that repeat an id one stays. Rows without an id stay."""
-    found = link(docs, id_column, text_column, words, percent)
-    stay = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_stays")).distinct()
-    kept = docs.join(stay, F.col(id_column) == F.col("_stays"), "left_semi").dropDuplicates([id_column])
+    Of rows that repeat an id and its text one stays; different texts of one id are different documents. Rows without an id stay."""
+    if docs.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").isEmpty():
+        found = link(docs, id_column, text_column, words, percent)
+        stay = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_stays"))
+        kept = docs.join(stay, F.col(id_column) == F.col("_stays"), "left_semi")
+    else:
+        kept = _keep_texts(docs, id_column, text_column, words, percent)
     return kept.unionByName(docs.where(F.col(id_column).isNull()))
+
+
+def _keep_texts(docs: DataFrame, id_column: str, text_column: str, words: int, percent: int) -> DataFrame:
+    """The same where ids repeat: each different text of an id is a document, with a number of its own."""
+    text = F.col(text_column).cast("string")
+    which = F.coalesce(F.sha2(text, 256), F.lit(""))
+    apart = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), text.alias("text"), which.alias("which")).dropDuplicates(["id", "which"])
+    apart = written(apart.withColumn("node", F.monotonically_increasing_id()), "apart")
+    found = link(apart, "node", "text", words, percent).join(apart.select("node", "id", "which"), "node")
+    stay = written(found.groupBy("component_id").agg(F.min(F.struct("id", "which")).alias("x")).select(F.col("x.id").alias("_stays"), F.col("x.which").alias("_text")), "stay")
+    first = docs.withColumn("_which", which).dropDuplicates([id_column, "_which"])
+    return first.join(stay, (F.col(id_column) == F.col("_stays")) & (F.col("_which") == F.col("_text")), "left_semi").drop("_which")

@@ -401,6 +401,13 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.link(docs.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (7, a + " end"), (7, b), (7, c), (7, c), (7, None), (8, b), (2, c.upper()), (None, a)]
+    kept = ngram_join.keep_one(table(spark, rows), words=5, percent=80).collect()
+    assert sorted(map(str, kept)) == sorted(str(x) for x in table(spark, [(1, a), (7, b), (7, None), (2, c.upper()), (None, a)]).collect())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 400), st.sampled_from([80, 90]), st.integers(0, 10**6))
 def test_linked_sets_share_a_segment(size, percent, seed):
