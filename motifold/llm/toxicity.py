@@ -4,7 +4,7 @@ A text is a bag of sentences (ended by . ! ? or a line break); a sentence is the
 what they begin with, hashed to 2**BITS weights. A sentence is toxic with the logistic of the sum of its weights, a document with the noisy-or over its sentences,
 1 - prod(1 - p). Only documents have labels, and the loss on these trains the sentence model, which then also tells where a text offends.
 
-It is fitted on at most `most` documents of labels 0 and 1. With only one label among them, all scores are 1 for label 1, else 0.
+It is fitted on at most `most` documents of labels 0 and 1. The driver holds their words as 32-bit numbers and sums over them in chunks. With only one label among them, all scores are 1 for label 1, else 0.
 A null or empty text has no sentence and the score 0. Every row gets one row.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.labelled import sample
-from motifold.llm.shared import small_batches
+from motifold.llm.shared import small_batches, written
 from motifold.llm.text import LOWER, Hashes, column_bytes, mix, slices, word_spans
 
 U = np.uint64
-BITS, PART, PREFIXES = 18, 1 << 18, (4, 5, 6, 7)
+BITS, PART, CHUNK, PREFIXES = 18, 1 << 18, 1 << 20, (4, 5, 6, 7)
 #: Whatever is no letter; bytes from 0x80 on belong to letters.
 BETWEEN = ~((np.arange(256) >= 0x80) | np.isin(np.arange(256) | 32, np.arange(97, 123)))
 STOPS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
@@ -46,6 +46,14 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return key & ((1 << BITS) - 1), key >> BITS, owner[first], starts[first], ends[last] if len(first) else first
 
 
+def _sums(index: np.ndarray, weight: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
+    """np.bincount(index, weight[at], count), with temporary arrays of CHUNK elements."""
+    out = np.zeros(count)
+    for a in range(0, len(index), CHUNK):
+        out += np.bincount(index[a : a + CHUNK], weight[at[a : a + CHUNK]], count)
+    return out
+
+
 class Model:
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rounds: int = 250, least: int = 3, support: float = 1.0):
         """bags: for each document the places of its words and which of its sentences each is in."""
@@ -72,13 +80,13 @@ class Model:
         text, total = np.repeat(np.arange(len(bags)), counts), int(first[-1])
         step, moment, scale = 0.08, np.zeros(len(weight) + 1), np.full(len(weight) + 1, 1e-10)
         for _ in range(rounds):
-            z = np.clip(bias + np.bincount(sentence, weight[place], total), -30, 30)
+            z = np.clip(bias + _sums(sentence, weight, place, total), -30, 30)
             p = 1 / (1 + np.exp(-z))
             clean = np.minimum(np.bincount(text, np.logaddexp(0, z), len(bags)), 50)  # -log of the chance that no sentence is toxic
             # d loss / d clean: 1 for clean documents, -(1 - q) / q for toxic ones, where q is the chance of being toxic
             slope = np.where(label == 1, -1 / np.expm1(np.maximum(clean, 1e-3)), 1.0) / len(bags)
             by = slope[text] * p
-            slope_of = np.bincount(place, by[sentence], len(weight))
+            slope_of = _sums(place, by, sentence, len(weight))
             # the penalty holds at 0 what would serve fewer than `support` documents
             held = np.where(weight != 0, slope_of + penalty * np.sign(weight), np.sign(slope_of) * np.maximum(np.abs(slope_of) - penalty, 0))
             grad = np.append(held, by.sum())
@@ -97,7 +105,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(sentence, self.weight[place], count), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: tuple[int, int] = (1500, 1000), id_column: str = "doc_id", text_column: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: tuple[int, int] = (3000, 3000), id_column: str = "doc_id", text_column: str = "text") -> Model:
     small_batches(docs.sparkSession)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: tup
 
     rows = sample(docs, labels, label, learn, most, id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
-    got = rows.mapInArrow(each, f"id {kind}, label int, place binary, sentence binary").orderBy("id").collect()
+    bagged = written(rows.mapInArrow(each, f"id {kind}, label int, place binary, sentence binary"), "bags")
+    got = sorted(bagged.toLocalIterator(), key=lambda r: (r["id"], r["place"]))
     bags = [(np.frombuffer(r["place"], np.int32), np.frombuffer(r["sentence"], np.int32)) for r in got]
     return Model(bags, np.array([r["label"] for r in got]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,14 @@ def test_odd_rows_and_labels(spark, module):
         again = module.score(docs, module.fit(docs, known, "y", F.lit(True))).collect()
         assert [r.score for r in found] == [r.score for r in again]
     assert module.score(docs.limit(0), module.fit(docs, labels, "y", F.lit(True))).count() == 0
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """Each toxic word stands in four of 2,400 toxic documents: a sample of much fewer has most of them fewer than three times."""
+    name = lambda k: "".join(chr(97 + b % 26) for b in hashlib.md5(str(k).encode()).digest()[:8])
+    rows = [(k + 10_000 * y, f"a plain line here. then {name(k // 4 + 1000 * y)} stands.") for y in (0, 1) for k in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 10_000).cast("int").alias("toxic"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels, "toxic", F.lit(True)))
+    r = found.select(F.avg(F.when(F.col("doc_id") >= 10_000, F.col("predicted"))), F.avg(F.when(F.col("doc_id") < 10_000, F.col("predicted")))).first()
+    assert r[0] > 0.95 and r[1] < 0.05
