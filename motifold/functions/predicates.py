@@ -22,6 +22,8 @@ from motifold.functions import boolexpr as bx
 
 
 class Op(Enum):
+    """Fixed names of the operators."""
+
     EQ = "="
     NE = "!="
     GT = ">"

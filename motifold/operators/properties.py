@@ -41,6 +41,7 @@ def load_untyped(props: DataFrame, key: str, names: Sequence[str], ids: DataFram
 
 
 def valid_at(props: DataFrame, moment: str) -> DataFrame:
-    """Dynamic properties whose window holds the moment; an open bound holds always."""
-    at = F.lit(moment).cast("timestamp")
-    return props.where((F.col("`from`").isNull() | (F.col("`from`") <= at)) & (F.col("`to`").isNull() | (F.col("`to`") > at)))
+    """Dynamic properties whose window holds the moment; an open bound, or one that no record has, holds always."""
+    at, always = F.lit(moment).cast("timestamp"), F.lit(True)
+    begun = F.col("`from`").isNull() | (F.col("`from`") <= at) if "from" in props.columns else always
+    return props.where(begun & (F.col("`to`").isNull() | (F.col("`to`") > at) if "to" in props.columns else always))

@@ -5,9 +5,11 @@ Pattern queries run over the star-schema tables as a graph; the others are one o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from motifold.functions import boolexpr as bx
@@ -15,6 +17,7 @@ from motifold.functions import predicates as P
 from motifold.operators import ingest, matching, properties, signatures
 from motifold.plans.cypher import parse
 from motifold.plans.engine import Engine
+from motifold.sources import storage
 from motifold.sources.tables import priorities, read, star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +65,8 @@ MATCHES: dict[str, tuple[str, str]] = {
         "select distinct 'order:'||o_orderkey o, 'part:'||p_partkey p from orders join lineitem on l_orderkey=o_orderkey join part on p_partkey=l_partkey where contains(p_name,'ring') and starts_with(p_name,'small') and ends_with(p_type,'ECONOMY')",
     ),
     "match_string_order": (
-        "MATCH (p:Part)<-[:SHIPPED_N]-(s:Supplier) WHERE p.p_name < 'b' AND p.p_brand >= 'Brand#3' AND p.p_size <> 7 AND p.p_size <= 30 RETURN s, p",
-        "select distinct 'supplier:'||l_suppkey s, 'part:'||p_partkey p from lineitem join part on p_partkey=l_partkey join supplier on s_suppkey=l_suppkey where l_returnflag='N' and p_name < 'b' and p_brand >= 'Brand#3' and p_size <> 7 and p_size <= 30",
+        "MATCH (p:Part)<-[:SHIPPED_N]-(s:Supplier) WHERE p.p_name < 'c' AND p.p_brand >= 'Brand#3' AND p.p_size <> 7 AND p.p_size <= 30 RETURN s, p",
+        "select distinct 'supplier:'||l_suppkey s, 'part:'||p_partkey p from lineitem join part on p_partkey=l_partkey join supplier on s_suppkey=l_suppkey where l_returnflag='N' and p_name < 'c' and p_brand >= 'Brand#3' and p_size <> 7 and p_size <= 30",
     ),
     "match_any_type": (
         "MATCH (s:Supplier)-[]->(x) WHERE s.s_acctbal < 0 RETURN s, x",
@@ -98,6 +101,42 @@ MATCHES: dict[str, tuple[str, str]] = {
         "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE c.c_mktsegment IN ['BUILDING', 'FURNITURE'] AND c.c_nationkey IN [1, 2, 3] AND o.o_totalprice > 400000 RETURN c, o",
         "select 'customer:'||c_custkey c, 'order:'||o_orderkey o from customer join orders on o_custkey=c_custkey where c_mktsegment in ('BUILDING','FURNITURE') and c_nationkey in (1,2,3) and o_totalprice > 400000",
     ),
+    "match_variables_equal": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE c.c_custkey = s.s_suppkey RETURN c, n, s",
+        "select distinct 'customer:'||c_custkey c, 'nation:'||n_nationkey n, 'supplier:'||s_suppkey s from customer join nation on c_nationkey=n_nationkey join supplier on s_nationkey=n_nationkey where c_custkey = s_suppkey",
+    ),
+    "match_variables_differ": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE c.c_nationkey <> s.s_suppkey AND c.c_name < s.s_name AND c.c_acctbal >= s.s_acctbal AND c.c_acctbal > 9000 RETURN c, n, s",
+        "select distinct 'customer:'||c_custkey c, 'nation:'||n_nationkey n, 'supplier:'||s_suppkey s from customer join nation on c_nationkey=n_nationkey join supplier on s_nationkey=n_nationkey where c_nationkey <> s_suppkey and c_name < s_name and c_acctbal >= s_acctbal and c_acctbal > 9000",
+    ),
+    "match_variables_up_to": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE c.c_custkey <= s.s_suppkey AND NOT c.c_custkey = s.s_suppkey RETURN c, n, s",
+        "select distinct 'customer:'||c_custkey c, 'nation:'||n_nationkey n, 'supplier:'||s_suppkey s from customer join nation on c_nationkey=n_nationkey join supplier on s_nationkey=n_nationkey where c_custkey < s_suppkey",
+    ),
+    "match_doubles": (
+        "MATCH (p:Part) WHERE p.p_retailprice >= 900.1 AND p.p_retailprice <= 950.0 AND p.p_retailprice <> 900.3 RETURN p",
+        "select 'part:'||p_partkey p from part where p_retailprice between 900.1 and 950.0 and p_retailprice <> 900.3",
+    ),
+    "match_double_equal": (
+        "MATCH (p:Part) WHERE p.p_retailprice = 900.3 OR p.p_size = 7 RETURN p",
+        "select 'part:'||p_partkey p from part where p_retailprice = 900.3 or p_size = 7",
+    ),
+    "match_in_doubles": (
+        "MATCH (p:Part) WHERE p.p_retailprice IN [900.1, 900.4, 1.5] OR NOT p.p_size IN [1.0, 2, 3] AND p.p_size < 5.5 RETURN p",
+        "select 'part:'||p_partkey p from part where p_retailprice in (900.1, 900.4, 1.5) or p_size not in (1, 2, 3) and p_size < 5.5",
+    ),
+    "match_strings_after": (
+        "MATCH (p:Part) WHERE p.p_name > 'hot' AND p.p_name <= 'red widget' AND p.p_brand <> 'Brand#2' RETURN p",
+        "select 'part:'||p_partkey p from part where p_name > 'hot' and p_name <= 'red widget' and p_brand <> 'Brand#2'",
+    ),
+    "match_labels_of_all_occurrences": (
+        "MATCH (s:Supplier)-[:SHIPPED_A]->(p:ECONOMY), (p:Part)<-[:SHIPPED_R]-(t:Supplier) WHERE s.s_acctbal > 9500 AND t.s_acctbal < 0 RETURN s, p, t",
+        "select distinct 'supplier:'||s.s_suppkey s, 'part:'||p_partkey p, 'supplier:'||t.s_suppkey t from part join lineitem a on a.l_partkey=p_partkey and a.l_returnflag='A' join supplier s on s.s_suppkey=a.l_suppkey join lineitem r on r.l_partkey=p_partkey and r.l_returnflag='R' join supplier t on t.s_suppkey=r.l_suppkey where p_type='ECONOMY' and s.s_acctbal > 9500 and t.s_acctbal < 0",
+    ),
+    "match_incoming_chain": (
+        "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE r.r_regionkey = 2 OR s.s_suppkey > 90 RETURN r, n, s",
+        "select 'region:'||r_regionkey r, 'nation:'||n_nationkey n, 'supplier:'||s_suppkey s from supplier join nation on n_nationkey=s_nationkey join region on r_regionkey=n_regionkey where r_regionkey = 2 or s_suppkey > 90",
+    ),
     "return_properties": (
         "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.c_acctbal > 9000.0 RETURN c.c_name AS name, n.n_name, c.c_acctbal AS balance",
         "select c_name as name, n_name as \"n.n_name\", c_acctbal as balance from customer join nation on n_nationkey=c_nationkey where c_acctbal > 9000.0",
@@ -111,13 +150,15 @@ MATCHES: dict[str, tuple[str, str]] = {
         "select 'order:'||o_orderkey o, o_totalprice as price from orders join customer on o_custkey=c_custkey order by o_totalprice desc, 'order:'||o_orderkey limit 20 offset 5",
     ),
 }
-#: These have customers with an array of the priorities of their orders.
-_LIST = "(select o_custkey, list_sort(list(distinct o_orderpriority)) p from orders group by 1)"
+#: These have customers with arrays of their orders' priorities, prices and keys.
+_LIST = "(select o_custkey, list_sort(list(distinct o_orderpriority)) p, coalesce(list(o_totalprice) filter (o_totalprice > 400000), []) prices, list(o_orderkey) filter (o_totalprice > 450000) dear from orders group by 1)"
 ARRAY_MATCHES: dict[str, tuple[str, str]] = {
     "array_in": ("MATCH (c:Customer) WHERE c.priorities IN ['1-URGENT', '2-HIGH'] RETURN c", f"select 'customer:'||o_custkey c from {_LIST} where list_bool_and(list_transform(p, lambda x: x in ('1-URGENT','2-HIGH')))"),
     "array_any_equals": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.priorities = '5-LOW' AND NOT c.priorities STARTS WITH '1' RETURN c, n", f"select 'customer:'||c_custkey c, 'nation:'||n_nationkey n from {_LIST} join customer on c_custkey=o_custkey join nation on n_nationkey=c_nationkey where list_contains(p,'5-LOW') and not list_bool_or(list_transform(p, lambda x: starts_with(x,'1')))"),
     "array_contains": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.priorities CONTAINS 'GEN' AND c.priorities IS NOT NULL AND c.c_acctbal < 0 RETURN c, n", f"select 'customer:'||c_custkey c, 'nation:'||n_nationkey n from {_LIST} join customer on c_custkey=o_custkey join nation on n_nationkey=c_nationkey where list_bool_or(list_transform(p, lambda x: contains(x,'GEN'))) and c_acctbal < 0"),
-    "array_is_null": ("MATCH (c:Customer) WHERE c.priorities IS NULL RETURN c", "select 'customer:'||c_custkey c from customer where c_custkey not in (select o_custkey from orders)"),
+    "array_is_null": ("MATCH (c:Customer) WHERE c.dear IS NULL RETURN c", f"select 'customer:'||o_custkey c from {_LIST} where dear is null"),
+    "array_any_number": ("MATCH (c:Customer) WHERE c.prices > 490000 AND NOT c.prices < 420000.5 RETURN c", f"select 'customer:'||o_custkey c from {_LIST} where len(list_filter(prices, lambda x: x > 490000)) > 0 and len(list_filter(prices, lambda x: x < 420000.5)) = 0"),
+    "array_in_numbers": ("MATCH (c:Customer) WHERE c.dear IN [" + ", ".join(map(str, range(0, 1000, 2))) + "] RETURN c", f"select 'customer:'||o_custkey c from {_LIST} where dear is not null and len(list_filter(dear, lambda x: x >= 1000 or x % 2 <> 0)) = 0"),
 }
 
 
@@ -259,6 +300,85 @@ def properties_as_of(spark: SparkSession, d: str) -> DataFrame:
     return properties.valid_at(_dynamic(spark, d), "2024-01-15 00:00:00").groupBy("node_id", "property_name").agg(F.count("*").alias("n"))
 
 
+# edges' properties
+
+
+def _edge_records(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with their quantity, flag and tags as static properties; each holds from its shipping for thirty days."""
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max(F.struct("l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")).alias("x")).select("*", "x.*")
+    key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id")
+    props = F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.array("l_returnflag", "l_linestatus").alias("tags"))
+    return lines.select(key, F.concat(F.lit("supplier:"), "l_suppkey").alias("source_id"), F.concat(F.lit("part:"), "l_partkey").alias("target_id"), F.lit("SHIPPED").alias("edge_type"), props.alias("static_props"), F.struct(F.col("l_quantity").alias("open")).alias("dynamic_props"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("from"), F.date_format(F.col("l_shipdate") + F.expr("interval 30 days"), "yyyy-MM-dd HH:mm:ss").alias("to"))
+
+
+_EDGE_RECORDS = "(select concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) edge_id, max((l_quantity, l_returnflag, l_linestatus, l_shipdate)) x from lineitem group by l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+def edges_typed(spark: SparkSession, d: str) -> DataFrame:
+    long = ingest.unpivot(_edge_records(spark, d).drop("from", "to"), "edge_id", "static_props")
+    out = properties.load(long, "edge_id", {"quantity": P.Kind.DOUBLE, "flag": P.Kind.STRING, "tags": P.Kind.STRINGS})
+    return out.select("edge_id", "quantity", "flag", F.array_join("tags__array", ",").alias("tags"))
+
+
+def edges_untyped(spark: SparkSession, d: str) -> DataFrame:
+    long = ingest.unpivot(_edge_records(spark, d).drop("from", "to"), "edge_id", "static_props")
+    ids = long.where("property_name = 'quantity' and numeric_value > 45").select("edge_id")
+    return properties.load_untyped(long, "edge_id", ["quantity", "flag"], ids).select("edge_id", "quantity__numeric", "flag__string")
+
+
+def edges_as_of(spark: SparkSession, d: str) -> DataFrame:
+    long = ingest.unpivot(_edge_records(spark, d), "edge_id", "dynamic_props")
+    return properties.valid_at(long, "1995-06-15 00:00:00").select("edge_id", F.col("numeric_value").alias("quantity"), F.col("from").alias("begun"), F.col("to").alias("ended"))
+
+
+# graphs in a database
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _database(spark: SparkSession, d: str) -> str:
+    """A database that holds customers, suppliers, nations and parts with their edges, filled once in a session for each folder."""
+    if (key := (spark.sparkContext.applicationId, d)) not in _STORED:
+        name = f"motifold_{uuid.uuid4().hex}"
+        keyed = lambda t, label, props: read(spark, d, t).select(F.concat(F.lit(f"{t}:"), f"{t[0]}_{'cust' if t == 'customer' else 'supp' if t == 'supplier' else t}key").alias("node_id"), F.array(F.lit(label)).alias("labels"), F.struct(*props).alias("static_props"))
+        parts = _nodes(spark, d).where("node_id like 'part:%'").join(keyed("part", "Part", ["p_name", "p_size"]).drop("labels"), "node_id")
+        nodes = [_customer_records(spark, d), keyed("supplier", "Supplier", ["s_name", "s_acctbal"]), keyed("nation", "Nation", ["n_name"]), parts]
+        storage.load(spark, name, nodes, _edges(spark, d), [_event_records(spark, d)])
+        _STORED[key] = name
+    return _STORED[key]
+
+
+def _event_records(spark: SparkSession, d: str) -> DataFrame:
+    """The type of each customer's latest event, from then until the next."""
+    e = read(spark, d, "events").withColumn("until", F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return e.select(F.concat(F.lit("customer:"), "user_id").alias("node_id"), F.array(F.lit("Customer")).alias("labels"), F.struct("event_type").alias("dynamic_props"), text("ts").alias("from"), text("until").alias("to"))
+
+
+def stored_match_chain(spark: SparkSession, d: str) -> DataFrame:
+    text = "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 8000 AND c.rich = 'true' AND n.n_name IS NOT NULL RETURN c, n, s"
+    return Engine.of_database(spark, _database(spark, d)).query(text)
+
+
+def stored_match_types(spark: SparkSession, d: str) -> DataFrame:
+    return Engine.of_database(spark, _database(spark, d)).query("MATCH (s:Supplier)-[:SHIPPED_A]->(p:Part:ECONOMY), (s)-[:SHIPPED_R]->(p) WHERE p.p_size < 25 RETURN s, p")
+
+
+def stored_bitmask(spark: SparkSession, d: str) -> DataFrame:
+    return storage.stored_domain(spark, _database(spark, d), parse(_BITMASK_TEXT)).select("q1", "q2", "t1", "t2")
+
+
+def stored_counts(spark: SparkSession, d: str) -> DataFrame:
+    name = _database(spark, d)
+    return ingest.union([spark.table(f"{name}.{t}").agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in storage.TABLES])
+
+
+def match_as_of(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine.of_database(spark, _database(spark, d), as_of="2024-01-15 00:00:00")
+    return engine.query("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.event_type = 'error' AND c.c_acctbal > 0 RETURN c, n")
+
+
 #: Tests beyond Cypher, each over the customers' properties: name, test, SQL condition over c_acctbal, c_mktsegment and p (list of priorities).
 _URGENT = "list_bool_and(list_transform(p, lambda x: x in ('1-URGENT','2-HIGH','5-LOW')))"
 _TESTS: dict[str, tuple[P.Property, str]] = {
@@ -268,10 +388,14 @@ _TESTS: dict[str, tuple[P.Property, str]] = {
     "test_not_contains_all": (P.Property("priorities", P.Op.NOT_CONTAINS, ("1-URGENT", "2-HIGH")), "p is not null and not (list_contains(p,'1-URGENT') and list_contains(p,'2-HIGH'))"),
     "test_array_equals": (P.Property("priorities", P.Op.EQ, ("1-URGENT", "2-HIGH", "5-LOW")), "p = ['1-URGENT','2-HIGH','5-LOW']"),
     "test_array_differs": (P.Property("priorities", P.Op.NE, ("1-URGENT", "2-HIGH", "5-LOW")), "p <> ['1-URGENT','2-HIGH','5-LOW']"),
-    "test_empty": (P.is_empty("priorities"), "len(p) = 0"),
-    "test_not_empty": (P.is_not_empty("priorities"), "len(p) > 0"),
+    "test_empty": (P.is_empty("prices"), "len(prices) = 0"),
+    "test_not_empty": (P.is_not_empty("prices"), "len(prices) > 0"),
     "test_not_contains": (P.Property("c_mktsegment", P.Op.NOT_CONTAINS, "ILD"), "not contains(c_mktsegment,'ILD')"),
     "test_in_numbers": (P.is_in("c_nationkey", 3, 4.0, 5), "c_nationkey in (3,4,5)"),
+    "test_some_numbers": (P.some_in("dear", *range(0, 300)), "len(list_filter(dear, lambda x: x < 300)) > 0"),
+    "test_not_in_numbers": (P.not_in("dear", *range(0, 300)), "len(list_filter(dear, lambda x: x >= 300)) > 0"),
+    "test_some_doubles": (P.some_in("prices", 1.5, 473274.17, 439039.67, 430903.49, 460050.42, 463500.23, 418877.49), "len(list_filter(prices, lambda x: x in (473274.17, 439039.67, 430903.49, 460050.42, 463500.23, 418877.49))) > 0"),
+    "test_number_compare": (P.compare("dear", ">=", 14000), "len(list_filter(dear, lambda x: x >= 14000)) > 0"),
     "test_not_null": (P.is_not_null("priorities"), "p is not null"),
     "test_parsed": (P.parse_predicate("c.c_acctbal >= 5000").property, "c_acctbal >= 5000"),
 }
@@ -293,6 +417,30 @@ def truth_table(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "a boolean, b boolean, c boolean, d boolean, result boolean, dnf boolean")
 
 
+#: Expressions with the SQL of the same; constants and every spelling of the operators are among them.
+_FORMS = {
+    "!(A & B) | (C ∧ ~D) // either way": "not (a.x and b.x) or (c.x and not d.x)",
+    "NOT (A OR B) AND (C OR NOT D)": "not (a.x or b.x) and (c.x or not d.x)",
+    "(A | B) & (A ∨ C) /* and */ and (B or D)": "(a.x or b.x) and (a.x or c.x) and (b.x or d.x)",
+    "A & TRUE | F & B | ¬(!C | D) | 0": "a.x or (c.x and not d.x)",
+    "!!A & !(B & !(C | !D))": "a.x and not (b.x and not (c.x or not d.x))",
+    "A & !A | B & B": "b.x",
+}
+
+
+def normal_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Each expression, its negation and disjunctive normal forms, what is left of it simplified, and the form read off its truth table, under every
+    assignment; and whether the forms are disjunctive and equivalent."""
+    rows = []
+    for text in _FORMS:
+        e = bx.parse(text)
+        forms = [bx.nnf(e), bx.to_dnf(e), bx.parse_to_dnf(text), bx.simplify(e), bx.TruthTable(e, "ABCD").to_dnf()]
+        sound = bx.is_dnf(forms[1]) and bx.verify_dnf(e) and all(bx.equivalent(e, f) for f in forms)
+        for v in ({n: bool(k >> i & 1) for i, n in enumerate("ABCD")} for k in range(16)):
+            rows.append((text, *v.values(), e.evaluate(v), *[f.evaluate(v) for f in forms], sound))
+    return spark.createDataFrame(rows, "expression string, a boolean, b boolean, c boolean, d boolean, result boolean, nnf boolean, dnf boolean, parsed boolean, simple boolean, table_form boolean, sound boolean")
+
+
 def table_counts(spark: SparkSession, d: str) -> DataFrame:
     names = ("customer", "orders", "nation")
     frames = [read(spark, d, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n")) for n in names]
@@ -303,7 +451,7 @@ def max_ids(spark: SparkSession, d: str) -> DataFrame:
     return ingest.max_id(read(spark, d, "orders"), "o_orderkey").select(F.col("max_id").cast("long").alias("max_id"))
 
 
-_CUSTOMERS = f"(select c.*, p from customer c left join {_LIST} l on l.o_custkey = c.c_custkey)"
+_CUSTOMERS = f"(select c.*, p, prices, dear from customer c left join {_LIST} l on l.o_custkey = c.c_custkey)"
 _OPERATORS: dict[str, tuple[Query, str]] = {
     "ingest_pairs": (ingest_pairs, f"with {_EDGES_SQL} select source_id, target_id, array_to_string(edge_types, ',') edge_types, len(ids) n_edges from pairs"),
     "signature_table": (signature_table, f"with {_EDGES_SQL}, d as (select distinct src_labels, dst_labels, edge_types from pairs) select array_to_string(src_labels, ',') src_labels, array_to_string(dst_labels, ',') dst_labels, array_to_string(list_transform(list_sort(list_distinct(edge_types)), lambda k: k || '=' || len(list_filter(edge_types, lambda x: x = k))), ',') as types from d"),
@@ -324,6 +472,24 @@ _OPERATORS: dict[str, tuple[Query, str]] = {
     "unpivot_dynamic": (unpivot_dynamic, "select 'event_type' property_name, count(event_type) n, min(ts) first_from, max(ts) last_from, 0::bigint n_to, max(event_type) top_string, null::double top_number from events union all select 'value', count(value), min(ts), max(ts), 0, null, max(value) from events where value is not null"),
     "properties_as_of": (properties_as_of, "select 'customer:'||user_id node_id, unnest(['event_type','value']) property_name, count(*) n from events where ts <= timestamp '2024-01-15 00:00:00' group by user_id"),
     "truth_table": (truth_table, "with v(x) as (values (false),(true)) select a.x a, b.x b, c.x c, d.x d, (a.x and b.x) or (not (c.x or d.x) and a.x) as result, (a.x and b.x) or (not (c.x or d.x) and a.x) as dnf from v a, v b, v c, v d"),
+    "edges_typed": (edges_typed, f"select edge_id, x[1] quantity, x[2] flag, x[2] || ',' || x[3] tags from {_EDGE_RECORDS}"),
+    "edges_untyped": (edges_untyped, f"select edge_id, x[1] quantity__numeric, x[2] flag__string from {_EDGE_RECORDS} where x[1] > 45"),
+    "edges_as_of": (edges_as_of, f"select edge_id, x[1] quantity, x[4]::timestamp begun, x[4]::timestamp + interval 30 days ended from {_EDGE_RECORDS} where x[4] <= timestamp '1995-06-15' and x[4] + interval 30 days > timestamp '1995-06-15'"),
+    "stored_match_chain": (stored_match_chain, "select 'customer:'||c_custkey c, 'nation:'||n_nationkey n, 'supplier:'||s_suppkey s from customer join nation on n_nationkey=c_nationkey join supplier on s_nationkey=n_nationkey where s_acctbal > 8000 and c_acctbal > 5000"),
+    "stored_match_types": (stored_match_types, "select distinct 'supplier:'||a.l_suppkey s, 'part:'||a.l_partkey p from lineitem a join lineitem b on a.l_suppkey=b.l_suppkey and a.l_partkey=b.l_partkey join part on p_partkey=a.l_partkey where a.l_returnflag='A' and b.l_returnflag='R' and p_type='ECONOMY' and p_size < 25"),
+    "stored_bitmask": (stored_bitmask, "select distinct 's' q1, 'p' q2, 'supplier:'||l_suppkey t1, 'part:'||l_partkey t2 from lineitem join supplier on s_suppkey=l_suppkey join part on p_partkey=l_partkey where l_returnflag='A' and p_type='ECONOMY'"),
+    "stored_counts": (
+        stored_counts,
+        f"with {_EDGES_SQL}, sig as (select distinct src_labels, dst_labels, edge_types from pairs), linked as (select e.* from edges e join nodes s on s.node_id=source_id join nodes t on t.node_id=target_id) "
+        f"select 'node_label_pair' table_name, (select count(*) from sig) n union all select 'target_bit_matrix', (select count(*) from sig) union all select 'node_pair_matches', (select count(*) from pairs) union all select 'edges_matches', (select count(*) from linked) "
+        f"union all select 'metadata_node_labels', (select count(distinct l) from (select unnest(labels) l from nodes)) union all select 'metadata_edge_types', (select count(distinct edge_type) from linked) union all select 'edge_static_props', 0 union all select 'edge_dynamic_props', 0 "
+        f"union all select 'node_dynamic_props', (select count(event_type) from events) union all select 'node_static_props', (select count(c_name) + count(c_acctbal) + count(c_nationkey) + count(c_acctbal) + count(p) from {_CUSTOMERS}) + (select count(s_name) + count(s_acctbal) from supplier) + (select count(n_name) from nation) + (select count(p_name) + count(p_size) from part)",
+    ),
+    "match_as_of": (match_as_of, "with l as (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) k from events where ts <= timestamp '2024-01-15') select 'customer:'||c_custkey c, 'nation:'||n_nationkey n from l join customer on c_custkey=user_id join nation on n_nationkey=c_nationkey where k = 1 and event_type = 'error' and c_acctbal > 0"),
+    "normal_forms": (
+        normal_forms,
+        "with v(x) as (values (false),(true)), t as (" + " union all ".join(f"select '{text}' expression, a.x a, b.x b, c.x c, d.x d, {sql} r from v a, v b, v c, v d" for text, sql in _FORMS.items()) + ") select expression, a, b, c, d, r as result, r nnf, r dnf, r parsed, r simple, r table_form, true sound from t",
+    ),
     "table_counts": (table_counts, "select 'customer' table_name, count(*) n from customer union all select 'orders', count(*) from orders union all select 'nation', count(*) from nation"),
     "max_ids": (max_ids, "select max(o_orderkey) max_id from orders"),
     **{name: (_tested(test), f"select 'customer:'||c_custkey node_id from {_CUSTOMERS} where {sql}") for name, (test, sql) in _TESTS.items()},

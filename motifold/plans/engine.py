@@ -6,7 +6,7 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from motifold.operators.matching import Matcher
 from motifold.plans import cypher
@@ -37,6 +37,14 @@ class Engine:
         """strict_labels: unknown labels and types match nothing; else they restrict nothing. need_edge: reject patterns without an edge."""
         self.graph, self.strict_labels, self.need_edge = graph, strict_labels, need_edge
 
+    @classmethod
+    def of_database(cls, spark: SparkSession, database: str, as_of: str | None = None, **options: bool) -> Engine:
+        """Over the graph stored in a database; with the dynamic properties of a moment, if one is given."""
+        from motifold.sources.storage import open_graph
+
+        graph = open_graph(spark, database)
+        return cls(graph if as_of is None else graph.as_of(as_of), **options)
+
     def parse(self, text: str) -> Pattern:
         pattern = cypher.parse(text)
         if self.need_edge and not pattern.edges:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from copy import copy
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +75,21 @@ _LONG = {"__string": "string", "__numeric": "number", "__strings": "strings", "_
 
 
 class LongGraph:
-    """A graph from long tables: nodes (node_id, labels), edges (edge_id, source_id, target_id, edge_type), and properties of both."""
+    """A graph from long tables: nodes (node_id, labels), edges (edge_id, source_id, target_id, edge_type), properties of both, and
+    their dynamic properties, which have a window from .. to."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, node_props: DataFrame | None = None, edge_props: DataFrame | None = None):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, node_props: DataFrame | None = None, edge_props: DataFrame | None = None, node_history: DataFrame | None = None, edge_history: DataFrame | None = None):
         self.nodes, self.edges, self.node_props, self.edge_props = nodes, edges, node_props, edge_props
+        self.node_history, self.edge_history = node_history, edge_history
+
+    def as_of(self, moment: str) -> LongGraph:
+        """The graph in which dynamic properties that hold at the moment stand beside the static ones."""
+        graph = copy(self)
+        for static, history in (("node_props", self.node_history), ("edge_props", self.edge_history)):
+            if history is not None:
+                frames = [f for f in (getattr(self, static), properties.valid_at(history, moment).drop("from", "to")) if f is not None]
+                setattr(graph, static, ingest.union(frames))
+        return graph
 
     def domain(self, labels: Iterable[str], names: Iterable[str]) -> tuple[DataFrame, Callable[[str], Stored]]:
         """Nodes with all the labels, as node_id and columns of the named properties; and where each property is."""
@@ -104,11 +117,50 @@ class LongGraph:
         return have, {r[0] for r in self.edges.where(F.col("edge_type").isin(*types)).select("edge_type").distinct().collect()} if types else set()
 
 
+class StoredGraph(LongGraph):
+    """A graph from the ten storage tables. Labels and types are tested on the signatures, of which there are few; only
+    node pairs of the signatures that fit are read, and no edges. Nodes without an edge are not stored."""
+
+    def __init__(self, table: Callable[[str], DataFrame]):
+        signature = table("node_label_pair").groupBy("pair_id").agg(F.first("src_labels").alias("src_labels"), F.first("dst_labels").alias("dst_labels"), F.first(F.map_keys("edge_1_2_types")).alias("types"))
+        self.signatures, self.matches, self.label_names, self.type_names = signature, table("node_pair_matches"), table("metadata_node_labels"), table("metadata_edge_types")
+        props = lambda name, key: table(name).drop("created_at", "is_active").withColumnRenamed(key, "row_id")
+        self.node_props, self.edge_props = props("node_static_props", "snproperty_id"), props("edge_static_props", "seproperty_id")
+        self.node_history, self.edge_history = props("node_dynamic_props", "dnproperty_id"), props("edge_dynamic_props", "deproperty_id")
+        ends = self._matching(F.lit(True)).select(F.explode(F.array(F.struct(F.col("source_node_id").alias("node_id"), F.col("src_labels").alias("labels")), F.struct(F.col("target_node_id").alias("node_id"), F.col("dst_labels").alias("labels")))).alias("n")).select("n.*")
+        self.nodes = ingest.nodes_of([ends])
+        pair = self.matches.select("nodes_match_id", "pair_id", F.col("source_node_id").alias("source_id"), F.col("target_node_id").alias("target_id"))
+        self.edges = table("edges_matches").join(pair, ["pair_id", "nodes_match_id"]).select("edge_id", "source_id", "target_id", "edge_type")
+
+    def _matching(self, test: Column) -> DataFrame:
+        return self.matches.join(self.signatures.where(test), "pair_id")
+
+    def domain(self, labels: Iterable[str], names: Iterable[str]) -> tuple[DataFrame, Callable[[str], Stored]]:
+        graph, wanted = copy(self), sorted(labels)
+        if wanted:
+            fits = lambda c: F.size(F.array_except(F.array(*map(F.lit, wanted)), c)) == 0
+            ends = [self._matching(fits(l)).select(F.col(i).alias("node_id"), F.col(l).alias("labels")) for i, l in (("source_node_id", "src_labels"), ("target_node_id", "dst_labels"))]
+            graph.nodes = ends[0].unionByName(ends[1]).dropDuplicates(["node_id"])
+        return LongGraph.domain(graph, wanted, names)
+
+    def pairs(self, types: tuple[str, ...], src: frozenset[str], dst: frozenset[str]) -> tuple[DataFrame, bool]:
+        tests = [F.size(F.array_except(F.array(*map(F.lit, sorted(x))), c)) == 0 for x, c in ((src, "src_labels"), (dst, "dst_labels")) if x]
+        if types:
+            tests.append(F.arrays_overlap("types", F.array(*map(F.lit, types))))
+        # each pair of nodes has one signature, and is stored once for it
+        found = self._matching(reduce(lambda a, b: a & b, tests, F.lit(True)))
+        return found.select(F.col("source_node_id").alias("source_id"), F.col("target_node_id").alias("target_id")), True
+
+    def known(self, labels: Iterable[str], types: Iterable[str]) -> tuple[set[str], set[str]]:
+        of = lambda df, c, names: {r[0] for r in df.where(F.col(c).isin(*names)).select(c).distinct().collect()} if names else set()
+        return of(self.label_names, "label", sorted(labels)), of(self.type_names, "edge_type", sorted(types))
+
+
 class TableGraph(LongGraph):
     """A graph over ordinary tables, with a wide node table for each label: only the tables and columns that a query needs are read."""
 
     def __init__(self, node_tables: list[NodeTable], edge_tables: list[EdgeTable]):
-        self.node_tables, self.edge_tables = node_tables, edge_tables
+        self.node_tables, self.edge_tables, self.node_history, self.edge_history = node_tables, edge_tables, None, None
 
     def domain(self, labels: Iterable[str], names: Iterable[str]) -> tuple[DataFrame, Callable[[str], Stored]]:
         labels, names = frozenset(labels), sorted(names)
@@ -153,12 +205,11 @@ class TableGraph(LongGraph):
 
 
 def from_records(static_nodes: Iterable[DataFrame], static_edges: DataFrame | None, dynamic_nodes: Iterable[DataFrame] = (), dynamic_edges: DataFrame | None = None) -> LongGraph:
-    """A graph from node and edge records; dynamic inputs may be missing. Self-loops and edges with a missing end are dropped."""
+    """A graph from node and edge records; dynamic inputs may be missing, and as_of() shows them. Self-loops and edges with a missing end are dropped."""
     static_nodes, dynamic_nodes = list(static_nodes), list(dynamic_nodes)
     nodes = ingest.nodes_of([*static_nodes, *dynamic_nodes])
     edges = ingest.edges_of(static_edges, dynamic_edges)
     ids = nodes.select("node_id")
     kept = edges.join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
-    props = [ingest.unpivot(d, "node_id", "static_props") for d in static_nodes if "static_props" in d.columns]
-    edge_props = ingest.unpivot(static_edges, "edge_id", "static_props") if static_edges is not None and "static_props" in static_edges.columns else None
-    return LongGraph(nodes, kept, ingest.union(props) if props else None, edge_props)
+    own = lambda frames, key, column: (lambda found: ingest.union(found) if found else None)([ingest.unpivot(d, key, column) for d in frames if d is not None and column in d.columns])
+    return LongGraph(nodes, kept, own(static_nodes, "node_id", "static_props"), own([static_edges], "edge_id", "static_props"), own(dynamic_nodes, "node_id", "dynamic_props"), own([dynamic_edges], "edge_id", "dynamic_props"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from motifold.functions import boolexpr as bx
 from motifold.functions.predicates import Condition, Property
@@ -96,8 +96,11 @@ class Pattern:
     returned: Return | None = None
 
     def add_node(self, node: Node) -> Node:
-        """The first occurrence of a variable fixes its labels."""
-        return self.nodes.setdefault(node.name, node)
+        """A variable has the labels of all its occurrences."""
+        if (known := self.nodes.get(node.name)) is not None:
+            node = replace(known, labels=known.labels | node.labels)
+        self.nodes[node.name] = node
+        return node
 
     def add_edge(self, edge: Edge) -> Edge:
         for end in (edge.src, edge.dst):

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifold.sources.records import edge_records, node_records
+from motifold.sources.records import edge_records, node_records, write_json
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +48,12 @@ def split_values(column: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _one(df: DataFrame, key: str) -> DataFrame:
+    """A row for each key: the least of its records."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_least")).select(key, "_least.*")
+
+
 def _text(df: DataFrame, name: str) -> Column:
     return F.trim(F.coalesce(F.col(name), F.lit(""))) if name in df.columns else F.lit("")
 
@@ -68,7 +74,8 @@ def offshore_nodes(rows: DataFrame, label: str) -> DataFrame:
     columns = OFFSHORE[label]
     lists = ("country_codes", "countries")
     parts = [(split_values(F.col(c) if c in rows.columns else F.lit(None).cast("string")) if p in lists else _text(rows, c)).alias(p) for p, c in columns.items()]
-    wide = rows.where(F.col("node_id").isNotNull()).select(F.col("node_id").cast("long").alias("_id"), *parts).dropDuplicates(["_id"])
+    wide = rows.where(F.col("node_id").isNotNull()).select(F.col("node_id").cast("long").alias("_id"), *parts)
+    wide = _one(wide, "_id")
     return node_records(wide, "_id", label, list(columns))
 
 
@@ -182,12 +189,41 @@ def incident_graph(rows: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
             parts.append((label, edge, name, held))
     for label, _, repeats, _ in INCIDENT_PARTS:
         pairs = F.array(*[F.struct(n.alias("node_id"), h.alias("p")) for x, _, n, h in parts if x == label])
-        own = base.select(F.explode(pairs).alias("e")).where("e.node_id is not null").select("e.node_id", "e.p.*").dropDuplicates(["node_id"])
+        own = _one(base.select(F.explode(pairs).alias("e")).where("e.node_id is not null").select("e.node_id", "e.p.*"), "node_id")
         nodes[label] = node_records(own, "node_id", label, list(repeats[0]))
-    nodes["Incident"] = node_records(base.select(col("eventid").alias("node_id"), *[col(c).alias(c) for c in _INCIDENT], col("alternative_txt").alias("alternative")).dropDuplicates(["node_id"]), "node_id", "Incident", [*_INCIDENT, "alternative"])
+    nodes["Incident"] = node_records(_one(base.select(col("eventid").alias("node_id"), *[col(c).alias(c) for c in _INCIDENT], col("alternative_txt").alias("alternative")), "node_id"), "node_id", "Incident", [*_INCIDENT, "alternative"])
     link = lambda a, b, t: F.struct(a.alias("source_id"), b.alias("target_id"), F.lit(t).alias("edge_type"))
     links = [link(col("eventid"), n, t) for _, t, n, _ in parts] + [link(n, country, "HAS_NATIONALITY") for x, _, n, _ in parts if x == "Target"]
     related = F.transform(F.filter(F.split(F.coalesce(col("related"), F.lit("")), ","), lambda x: F.trim(x) != ""), lambda x: link(col("eventid"), F.trim(x), "IS_RELATED_TO"))
     edges = base.select(F.explode(F.concat(F.array(*links), related)).alias("e")).select("e.*").where("source_id is not null and target_id is not null")
     keyed = edges.distinct().withColumn("edge_id", F.sha2(F.to_json(F.struct("source_id", "target_id", "edge_type")), 256))
     return nodes, keyed.select("edge_id", "source_id", "target_id", "edge_type")
+
+
+# loaders: from raw files to record files
+
+
+def _write(folder: str, frames: dict[str, DataFrame | None]) -> None:
+    for group, df in frames.items():
+        if df is not None:
+            write_json(df, folder, group)
+
+
+def load_offshore(spark: SparkSession, nodes: dict[str, str], relations: str, folder: str) -> None:
+    """Record files of the offshore network: nodes maps each label to its CSV file, relations is the CSV file of edges."""
+    rows = {label: read_csv(spark, path) for label, path in nodes.items()}
+    static, dynamic = offshore_edges(read_csv(spark, relations))
+    _write(folder, {f"{label.lower()}_nodes_static_props": offshore_nodes(df, label) for label, df in rows.items()})
+    _write(folder, {"entity_nodes_dynamic_props": offshore_entity_status(rows["Entity"]) if "Entity" in rows else None, "edges_static_props": static, "edges_dynamic_props": dynamic})
+
+
+def load_mail(spark: SparkSession, mails: str, folder: str) -> None:
+    """Record files of the mail network below a folder of message files."""
+    people, edges = mail_graph(parse_mail(read_mail(spark, mails)))
+    _write(folder, {"person_nodes_static_props": people, "edges_static_props": edges})
+
+
+def load_incidents(spark: SparkSession, path: str, folder: str) -> None:
+    """Record files of the incident network, from a CSV file or a spreadsheet."""
+    nodes, edges = incident_graph(read_excel(spark, path) if path.endswith((".xlsx", ".xls")) else read_csv(spark, path))
+    _write(folder, {f"{label.lower()}_nodes_static_props": df for label, df in nodes.items()} | {"edges_static_props": edges})

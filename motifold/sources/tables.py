@@ -31,13 +31,21 @@ def priorities(orders: DataFrame) -> DataFrame:
     return orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
 
 
-def star_graph(spark: SparkSession, sf_dir: str, with_priorities: bool = False) -> TableGraph:
-    """Customers, suppliers, nations, regions, parts (also labelled by type) and orders. with_priorities: customers have that array."""
+def order_lists(orders: DataFrame) -> DataFrame:
+    """Arrays of each customer's orders: the different priorities; the prices above 400,000 (empty without any); the keys of those
+    above 450,000 (null without any)."""
+    over = lambda price, value: F.array_sort(F.collect_list(F.when(F.col("o_totalprice") > price, F.col(value))))
+    lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"), over(400000, "o_totalprice").alias("prices"), over(450000, "o_orderkey").alias("dear"))
+    return lists.withColumn("dear", F.when(F.size("dear") > 0, F.col("dear")))
+
+
+def star_graph(spark: SparkSession, sf_dir: str, with_lists: bool = False) -> TableGraph:
+    """Customers, suppliers, nations, regions, parts (also labelled by type) and orders. with_lists: customers have order_lists()."""
     customer, supplier, nation, region, part, orders, lineitem = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region", "part", "orders", "lineitem"))
     customers = node_table(customer, "c_custkey", "Customer", "customer")
-    if with_priorities:
-        wide = customers.frame.join(priorities(orders), "c_custkey", "left")
-        customers = NodeTable(wide, customers.labels, customers.stored | {"priorities": Stored(strings=F.col("priorities"))})
+    if with_lists:
+        wide = customers.frame.join(order_lists(orders), "c_custkey", "left")
+        customers = NodeTable(wide, customers.labels, customers.stored | {"priorities": Stored(strings=F.col("priorities"))} | {p: Stored(numbers=F.col(p)) for p in ("prices", "dear")})
     nodes = [customers, node_table(supplier, "s_suppkey", "Supplier", "supplier"), node_table(nation, "n_nationkey", "Nation", "nation"), node_table(region, "r_regionkey", "Region", "region"), node_table(part, "p_partkey", "Part", "part", "p_type"), node_table(orders, "o_orderkey", "Order", "order")]
     c, s, n, r = ("c_custkey", "customer", "Customer"), ("s_suppkey", "supplier", "Supplier"), "nation", "region"
     p = ("l_partkey", "part", "Part")

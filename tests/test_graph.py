@@ -19,6 +19,7 @@ NODES = [
     ("a1", ["Address"], {"countries": ["France"]}),
     ("i1", ["Intermediary"], {"name": "Int"}),
 ]
+# fixed names of edge types
 D, S, R, I = "director of", "shareholder of", "registered address", "intermediary of"
 EDGES = [("o1", D, "e1"), ("o2", S, "e1"), ("o1", S, "e1"), ("o2", D, "e2"), ("e1", R, "a1"), ("i1", I, "e2"), ("o3", S, "e2"), ("o2", S, "e1"), ("o1", D, "o1"), ("o1", D, "zz")]
 NODE_SCHEMA = "node_id string, labels array<string>, static_props struct<name:string,countries:array<string>,age:double,jurisdiction:string>, is_active boolean"
@@ -136,8 +137,30 @@ def test_json_records_round_trip(spark, tmp_path, frames):
     (tmp_path / "path_1_entity_nodes_dynamic_props_1.json").write_text(json.dumps([{"node_id": "e1", "labels": ["Entity"], "is_active": True, "from": "2001-01-01", "to": None, "dynamic_props": {"status": "Active"}}]))
     graph = records.read_graph(spark, str(tmp_path))
     assert [tuple(r) for r in Engine(graph).query(f"{M1} WHERE o.name = 'Ann' RETURN o, e.name").collect()] == [("o1", "X")]
-    records.write_json(frames[0], str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == len(NODES)
+    folder = str(tmp_path / "out")
+    records.write_json(frames[0].repartition(3), folder, "person_nodes_static_props")
+    files = records.write_json(frames[0].limit(0), folder, "empty_nodes_static_props")
+    assert all(f.rsplit("/", 1)[-1].startswith("path_") for f in files)
+    history = spark.createDataFrame([("o1", "new", "2001-01-01", None), ("o1", "old", None, "2001-01-01")], "id string, status string, `begin` string, `end` string")
+    records.write_json(records.dynamic_node_records(history, "id", "Officer", ["status"], "begin", "end"), folder, "officer_nodes_dynamic_props")
+    for _ in range(2):  # a batch written again replaces the first
+        records.write_json(frames[1], folder, "edges_static_props")
+    again = records.read_graph(spark, folder)
+    assert again.nodes.count() == len(NODES) and again.node_props.count() == 15 and again.edges.count() == 8
+    for text in CASES:
+        assert sorted(" ".join(r) for r in Engine(again).bindings(text).collect()) == CASES[text]
+    held = lambda when: [r[0] for r in Engine(again.as_of(when)).query(f"{M1} WHERE o.name = 'Ann' RETURN o.status").collect()]
+    assert (held("2000-06-01"), held("2001-01-01")) == (["old"], ["new"])
+    records.upload(spark, files[0].removeprefix("file:"), str(tmp_path / "there.json"))
+    assert (tmp_path / "there.json").exists()
+
+
+def test_dynamic_edges(spark):
+    edges = spark.createDataFrame([("k", "a", "b", "T", 5, "2001-01-01", "2002-01-01")], "edge_id string, source_id string, target_id string, edge_type string, share int, b string, e string")
+    nodes = spark.createDataFrame([("a", ["X"], None), ("b", ["X"], None)], "node_id string, labels array<string>, static_props struct<n:int>")
+    graph = from_records([nodes], None, [], records.dynamic_edge_records(edges, ["share"], "b", "e"))
+    assert graph.edge_props is None and graph.edge_history.count() == 1
+    assert [r.numeric_value for r in graph.as_of("2001-06-01").edge_props.collect()] == [5.0] and graph.as_of("2002-01-01").edge_props.count() == 0
 
 
 def test_storage(spark, tmp_path, frames):
@@ -159,6 +182,57 @@ def test_storage(spark, tmp_path, frames):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id:ID", "labels:LABELS"]
 
 
+def test_stored_graph(spark, tmp_path, frames):
+    folder = str(tmp_path / "records")
+    history = spark.createDataFrame([("e1", "Active", "2001-01-01", "2002-01-01")], "id string, status string, b string, e string")
+    records.write_json(frames[0], folder, "person_nodes_static_props")
+    records.write_json(frames[1], folder, "edges_static_props")
+    records.write_json(records.dynamic_node_records(history, "id", "Entity", ["status"], "b", "e"), folder, "entity_nodes_dynamic_props")
+    storage.load_folder(spark, folder, "graph_stored")
+    try:
+        more = spark.createDataFrame([("o9", ["Officer"], ("Zed",)), ("b9", ["Bank"], ("Yen",))], "node_id string, labels array<string>, static_props struct<name:string>")
+        link = spark.createDataFrame([("y", "o9", "b9", D)], "edge_id string, source_id string, target_id string, edge_type string")
+        engine = Engine.of_database(spark, "graph_stored")
+        for text in CASES:
+            assert sorted(" ".join(r) for r in engine.bindings(text).collect()) == CASES[text]
+        assert Engine.of_database(spark, "graph_stored", as_of="2001-05-05").run(f"{M1} WHERE e.status = 'Active' RETURN o")[0][1] == 1
+        assert engine.run(f"{M1} WHERE e.status = 'Active' RETURN o")[0][1] == 0
+        storage.load(spark, "graph_stored", [more], link)
+        sizes = {t["table"]: t["rows"] for t in storage.describe(spark, "graph_stored")}
+        assert (sizes["node_label_pair"], sizes["target_bit_matrix"], sizes["node_pair_matches"], sizes["metadata_node_labels"], sizes["metadata_edge_types"]) == (7, 7, 7, 5, 4)
+        ids = spark.table("graph_stored.node_static_props")
+        assert ids.select("snproperty_id").distinct().count() == ids.count() == 17
+        assert [tuple(r) for r in Engine.of_database(spark, "graph_stored").query(f"MATCH (o:Officer)-[:`{D}`]->(b:Bank) RETURN o.name, b.name").collect()] == [("Zed", "Yen")]
+        from motifold.plans.cypher import parse
+
+        assert sorted((r.t1, r.t2) for r in storage.stored_domain(spark, "graph_stored", parse(f"{M1} RETURN o")).collect()) == [("o1", "e1"), ("o2", "e2")]
+    finally:
+        storage.drop(spark, "graph_stored")
+
+
+def test_labels_of_all_occurrences(graph):
+    pattern = Engine(graph).parse(f"MATCH (a)-[:`{D}`]->(b:Entity), (a:Officer)-[]->(c), (b:Other) RETURN a")
+    assert pattern.nodes["a"].labels == {"Officer"} and pattern.nodes["b"].labels == {"Entity", "Other"}
+
+
+def test_csv_and_loaders(spark, tmp_path):
+    (tmp_path / "Entity.csv").write_text('node_id,name,countries,status,incorporation_date\n1,"A ""quoted"", name\nover two lines","PAN; VGB",Active,23-MAR-2006\n2,B,,,\n')
+    (tmp_path / "relations.csv").write_text("node_1,node_2,rel_type,start_date,end_date\n1,2,owner of,3-MAR-2006,\n")
+    rows = networks.read_csv(spark, str(tmp_path / "Entity.csv"))
+    assert rows.count() == networks.row_count(rows) == 2 and rows.first()["name"] == 'A "quoted", name\nover two lines'
+    networks.load_offshore(spark, {"Entity": str(tmp_path / "Entity.csv")}, str(tmp_path / "relations.csv"), str(tmp_path / "off"))
+    graph = records.read_graph(spark, str(tmp_path / "off"))
+    assert [tuple(r) for r in Engine(graph.as_of("2010-01-01")).query("MATCH (a:Entity)-[:`owner of`]->(b) WHERE a.status = 'Active' RETURN a, b").collect()] == [("1", "2")]
+    (tmp_path / "mail").mkdir()
+    (tmp_path / "mail" / "1.").write_text("Date: Mon, 14 May 2001 16:39:00 -0700 (PDT)\nFrom: a@x.com\nTo: b@x.com\n\nhello\n")
+    networks.load_mail(spark, str(tmp_path / "mail"), str(tmp_path / "mails"))
+    assert records.read_graph(spark, str(tmp_path / "mails")).edges.count() == 1
+    (tmp_path / "incidents.csv").write_text("eventid,motive,country,country_txt\n1,M,5,Peru\n2,,5,Perù\n")
+    networks.load_incidents(spark, str(tmp_path / "incidents.csv"), str(tmp_path / "inc"))
+    graph = records.read_graph(spark, str(tmp_path / "inc"))
+    assert [r[0] for r in Engine(graph).query("MATCH (i:Incident)-[:OCCURRED_IN]->(c:Country) RETURN DISTINCT c.country").collect()] == ["Peru"]
+
+
 def test_offshore_network(spark):
     entity = spark.createDataFrame([("1", " X ", "PAN;;VGB ", "23-MAR-2006", "1-JAN-2010", "3-FEB-2009", "Active"), ("1", "X", "", "", "", "", ""), ("2", "Y", None, "junk", "", "", "Dead")], "node_id string, name string, countries string, incorporation_date string, inactivation_date string, struck_off_date string, status string")
     nodes = networks.offshore_nodes(entity, "Entity")
