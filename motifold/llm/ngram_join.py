@@ -1,43 +1,50 @@
 """Jaccard join of documents on word shingles by vertical partitioning.
 
-The global order of all shingles is the order of their 64-bit hashes. It is cut into F fragments, and a document's set
-falls into one segment for each fragment. Two sets that link differ in at most d = floor(min size * (100 - t) / t)
-shingles, so with F above d at least one fragment holds equal segments: documents that share a whole segment are
-candidates, unless the segment is made of common shingles alone. F depends on a document's size level, and each set is cut for its own level and the one below, so that
-any two sizes that can link meet on one level. Fragments that are empty on both sides say nothing, and common shingles little; F has some spare ones, and a
-set with more such fragments than that announces them as well, so that no link is lost. Which shingles count as common
-changes the work, never the result.
-
-Candidates form clusters. Within tiles of a cluster the shared shingles of all pairs are counted fragment by fragment and summed
-for each pair. Tiles have at most about 100 sets; a larger cluster is dealt over many, each with some common leaders, and
-what the leaders leave apart is then compared in tiles of blocks against all blocks. Only a spanning tree of the links of each tile leaves it.
+All shingles have one global order: rarer ones first, equally frequent ones by their hashes (counts above 255 are equal). Two documents that link share at least one of
+the first n - ceil(n * t) + 1 shingles in this order, where n is the size of a document's set. So documents that share one of these, the keys, are candidates;
+a passage in many documents makes candidates only of those that consist of little else.
+
+The hashes are cut into ranges. Blocks of documents send their distinct shingles once to each range, which counts the sets that hold each, and answers with those
+that are in two or more. Shingles of one set alone can't be shared, so most documents drop out here, and the others keep the rest of their shingles.
+
+Candidates form clusters. The shingles of a cluster are again cut into fragments of the hashes; the overlaps of all pairs are counted in each
+fragment apart, and summed by pair. Tiles have at most about 100 sets; a larger cluster is dealt over many, each with some common leaders. What
+the leaders leave outside of the cluster's largest component then meets, a hundred at a time, all documents with which they share a key. Only a spanning tree of the
+links of each tile leaves it.
 
 Equal sets form one class, of which one member is compared. A null or empty text, or one without words, has no shingles and
 links with nothing. Rows that repeat an id count as one document with several texts. Rows without an id get no component. Every row gets one row.
+Other columns of any name do no harm. An empty table gives an empty result. The rows must come in the same order if a part of the table is read
+again, as they do from files.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.shared import components, small_batches, written
-from motifold.llm.text import LOWER, Hashes, column_bytes, mix, release, slices, word_spans
+from motifold.llm.shared import components, fresh, small_batches, written
+from motifold.llm.text import LOWER, Hashes, column_bytes, mix, planes, release, slices, unplaned, word_spans
 
 U = np.uint64
-#: Bytes of text handled at once, sets in a tile, leaders of a large cluster, documents for each bucket of segments.
-PART, TILE, LEADERS, DOCS_A_BUCKET = 1 << 19, 100, 16, 1 << 11
-#: Sets of one part of the input in which a shingle must be to count as common there, and how many common shingles are told to all tasks at most.
-OFTEN, COMMON = 4, 1 << 17
+#: Bytes of text handled at once, shingles and documents of a block, bytes of text for each range of the hashes.
+PART, BLOCK, BLOCK_DOCS, RANGE = 1 << 19, 800_000, 60_000, 8 << 20
+#: Sets in a tile, leaders of a large cluster, shingles in a fragment of a tile, and in the tiles of one task.
+TILE, LEADERS, FRAGMENT, BUNDLE = 100, 16, 1 << 12, 1 << 19
+#: Bits of a shingle's hash. Two different shingles of a pair of sets of 1,000 are alike with a chance of 1 in 10**11.
+BITS = 56
+#: Marks a shingle that several sets of its block hold.
+SEVERAL = 0xFFFF
 
 
 class Sets:
-    """The distinct shingles' hashes of some texts, one text after the other, each in ascending order."""
+    """The distinct shingles' hashes (56 bits) of some texts, one text after the other, each in ascending order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, words: int):
         starts, ends, edges = word_spans(data, offsets)
@@ -55,7 +62,7 @@ class Sets:
                 short = mix(short + names[at + k] + U(k + 1))
             values.append(short)
             owners.append(np.flatnonzero(n == few))
-        value, owner = np.concatenate(values), np.concatenate(owners)
+        value, owner = np.concatenate(values) >> U(64 - BITS), np.concatenate(owners)
         counts = np.bincount(owner, minlength=len(n))
         value = value[np.argsort(owner, kind="stable")] if words > 1 else value
         edges = np.concatenate([[0], np.cumsum(counts)])
@@ -78,191 +85,196 @@ class Sets:
         return out[0], out[1]
 
 
-def levels(most: int, percent: int) -> list[int]:
-    """The first size of each level; sizes that can link are on one level or on neighbouring ones."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 100 // percent))
-    return bounds
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Which of `parts` equal ranges each hash is in."""
+    return (((hashes >> U(BITS - 32)) * U(parts)) >> U(32)).astype(np.int64)
 
 
-def cuts(bounds: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each level the number of fragments, and how many of them are spare.
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
-    Segment sizes follow a Poisson law, as hashes are uniform; so few sets (one in 1000) have more empty segments than spare ones.
-    """
-    fragments, spares = [], []
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        differ, spare = (high - 1) * (100 - percent) // percent, 0
-        while differ and spare < differ + 3:
-            empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
-            term, below = math.exp(-empty), 0.0
-            for k in range(spare + 1):
-                below += term
-                term *= empty / (k + 1)
-            if below > 1 - 1e-3:
-                break
-            spare += 1
-        spare += 2 if differ > 8 else 0
-        fragments.append(differ + 1 + spare)
-        spares.append(spare)
-    return np.array(fragments), np.array(spares)
-
-
-def segments(sets: Sets, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each set's segments on its two levels, with the text that each belongs to. common: hashes of common shingles, in order.
-
-    Two sets that link agree in more fragments than are spare. So a segment of common shingles alone is announced only by sets that have
-    more such and empty segments than spare ones, and an empty one only by sets with more empty ones.
-    """
-    bounds = levels(int(sets.size.max(initial=0)), percent)
-    fragments, spares = cuts(bounds, percent)
-    level = np.searchsorted(np.array(bounds), sets.size, "right") - 1
-    rare = np.ones(len(sets.value), np.int64)
-    if len(common):
-        rare = (common[np.minimum(np.searchsorted(common, sets.value), len(common) - 1)] != sets.value).astype(np.int64)
-    found, owners = [], []
-    for below in (0, 1):
-        own = level - below
-        ok = (sets.size > 0) & (own >= 0)
-        at_level = np.clip(own, 0, len(fragments) - 1)
-        cut, spare = fragments[at_level], spares[at_level]
-        pick = ok[sets.owner]
-        value, owner = sets.value[pick], sets.owner[pick]
-        if not len(value):
-            continue
-        part = ((value >> U(32)) * cut[owner].astype(U)) >> U(32)
-        new = np.ones(len(value), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(new)
-        text = owner[at]
-        telling = np.add.reduceat(rare[pick], at) > 0
-        poor = cut - np.bincount(text[telling], minlength=len(cut)) > spare
-        sent = telling | poor[text]
-        tag = mix(U(0x51F0) + own[text].astype(U) * U(1 << 32) + part[at])
-        found.append(mix(np.add.reduceat(mix(value), at) + tag)[sent])
-        owners.append(text[sent])
-        filled = np.bincount(text, minlength=len(cut))
-        for k in np.flatnonzero(ok & (cut - filled > spare)):
-            gaps = np.setdiff1d(np.arange(cut[k]), part[at][text == k].astype(np.int64))
-            found.append(mix(mix(U(0x51F0) + U(own[k]) * U(1 << 32) + gaps.astype(U)) ^ U(0xE3)))
-            owners.append(np.full(len(gaps), k))
-    if not found:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owners)
 
+_POSTED = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
+_FOUND = pa.schema([*((c, pa.int64()) for c in ("kind", "block", "id", "n", "one", "two", "k", "m")), ("hashes", pa.binary()), ("nodes", pa.binary())])
+DOCUMENT, KEY, EDGE = 0, 1, 2
 
-def _chains(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest node of each key; and edges from it to the key's other nodes, each once."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    head = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    other = np.flatnonzero(~new & (head != node))
-    edges = np.unique(np.stack([head[other], node[other]]), axis=1) if len(other) else np.zeros((2, 0), np.int64)
-    return key[new], node[new], edges[0], edges[1]
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
 
-_BLOB = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("node", pa.binary()), ("low", pa.binary())])
 
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
-def _lowest(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes in order, and the two smallest keys of each (the same twice where it has one)."""
-    order = np.lexsort((key, node))
-    key, node = key[order], node[order]
-    at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-    after = np.minimum(at + 1, np.append(at[1:], len(node)) - 1)
-    return node[at], np.stack([key[at], key[after]], axis=1)
 
+def _posted(docs: DataFrame, words: int, ranges: int) -> DataFrame:
+    """Each block's distinct shingles by range, with the set that holds each or the number of such sets; and, in a range of
+    its own, the block's documents, and which of them hold the shingles of several. docs: id, text."""
 
-def _meet(key: np.ndarray, node: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the smallest node of each key to its other nodes.
+    def block(number: int, ids: list[pa.Array], sets: list[Sets]) -> pa.RecordBatch:
+        id_, known = (np.concatenate([f(x) for x in ids]) for f in (lambda x: pc.fill_null(x, 0).to_numpy(), lambda x: x.is_valid().to_numpy(zero_copy_only=False)))
+        n = np.concatenate([s.size for s in sets])
+        one, two = (np.concatenate(x) for x in zip(*(s.sums() for s in sets), strict=True))
+        # one of equal sets stands for all of them
+        order = np.lexsort((id_, two, one, n, ~(known & (n > 0))))
+        same = np.ones(len(n), bool)
+        same[1:] = (n[order][1:] != n[order][:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        stands = np.zeros(len(n), bool)
+        stands[order[same]] = True
+        stands &= known & (n > 0)
+        key = np.concatenate([s.value for s in sets])
+        owner = np.repeat(np.arange(len(n)), n)
+        key, owner = key[stands[owner]], owner[stands[owner]].astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        at = _starts(key)
+        count = np.diff(np.append(at, len(key)))
+        several = np.repeat(count > 1, count)
+        own = np.stack([id_, known, n, one, two, stands]).astype(np.int64)
+        rows = [(-1 - number, number, planes(key[several]), owner[several].tobytes(), own.tobytes())]
+        distinct, holder = key[at], np.where(count > 1, SEVERAL, owner[at]).astype(np.uint16)
+        where = _part(distinct, ranges)
+        edges = _starts(where)
+        for a, b in zip(edges, [*edges[1:], len(where)][: len(edges)], strict=True):
+            rows.append((int(where[a]), number, planes(distinct[a:b]), holder[a:b].tobytes(), count[a:b][count[a:b] > 1].astype(np.uint32).tobytes()))
+        return _batch(rows, _POSTED)
 
-    Two nodes that also share a smaller key among their two smallest are connected where that key is met, so that most pairs
-    are connected once rather than in each of the buckets in which they meet.
-    """
-    order = np.lexsort((node, key))
-    key, node, low = key[order], node[order], low[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    other = np.flatnonzero(~new & (node[head] != node))
-    known = np.zeros(len(other), bool)
-    for x in (0, 1):
-        for y in (0, 1):
-            known |= (low[other, x] == low[head[other], y]) & (low[other, x] < key[other])
-    other = other[~known]
-    edges = np.unique(np.stack([node[head[other]], node[other]]), axis=1) if len(other) else np.zeros((2, 0), np.int64)
-    return edges[0], edges[1]
-
-
-def _candidates(docs: DataFrame, words: int, percent: int, buckets: int, common: np.ndarray) -> DataFrame:
-    """Edges (a, b) that connect all documents which share a segment. docs: id, text.
-
-    Each part of the input sends one document for each segment; the edges to the others of that part are sent as they are.
-    """
-
-    def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        names, lowest = _lowest(key, node)
-        key, node, a, b = _chains(key, node)
-        bucket = (key >> U(20)) % U(buckets)
-        order = np.lexsort((node, bucket))
-        bucket, key, node = bucket[order], key[order], node[order]
-        low = lowest[np.searchsorted(names, node)]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-        rows = [(int(bucket[i]), key[i:j].tobytes(), node[i:j].tobytes(), low[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(key)], strict=True)]
-        if len(a):
-            rows.append((-1 - int(a[0]) % buckets, a.tobytes(), b.tobytes(), b""))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _BLOB, strict=True)], schema=_BLOB)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held = [], [], 0
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, sets, held, many = [], [], 0, 0
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets, PART):
-                key, owner = segments(Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), percent, common)
-                keys.append(key)
-                nodes.append(ids[i:j][owner])
-                held += len(key)
-                if held > 700_000:
-                    yield from flush(keys, nodes)
-                    keys, nodes, held = [], [], 0
-        if held:
-            yield from flush(keys, nodes)
+                if held >= BLOCK or many + j - i > BLOCK_DOCS:
+                    yield block(number, ids, sets)
+                    number, ids, sets, held, many = number + 1, [], [], 0, 0
+                ids.append(batch.column(0).slice(i, j - i))
+                sets.append(Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words))
+                held, many = held + len(sets[-1].value), many + j - i
+        if many:
+            yield block(number, ids, sets)
         release()
 
-    def meet(table: pa.Table) -> pa.Table:
-        first, second, third = (b"".join(table.column(c).to_pylist()) for c in ("key", "node", "low"))
-        if table.column("bucket")[0].as_py() < 0:
-            a, b = np.frombuffer(first, np.int64), np.frombuffer(second, np.int64)
-        else:
-            a, b = _meet(np.frombuffer(first, U), np.frombuffer(second, np.int64), np.frombuffer(third, U).reshape(-1, 2))
-        out = pa.table({"a": a, "b": b})
+    return docs.mapInArrow(each, _ddl(_POSTED))
+
+
+def _counted(posted: DataFrame) -> DataFrame:
+    """For each block its shingles that two sets or more hold anywhere, and how many do; the block's documents (range -1) as they are."""
+
+    def each(table: pa.Table) -> pa.Table:
+        if table.column("range")[0].as_py() < 0:
+            return table.set_column(0, "range", pa.array([-1] * table.num_rows, pa.int64()))
+        blocks, blobs, owners, counts = (table.column(c).to_pylist() for c in ("block", "keys", "owners", "counts"))
+        parts = [unplaned(x, U) for x in blobs]
+        key, owner = np.concatenate(parts), np.frombuffer(b"".join(owners), np.uint16)
+        sets = np.ones(len(key), np.int64)
+        sets[owner == SEVERAL] = np.frombuffer(b"".join(counts), np.uint32)
+        order = np.argsort(key, kind="stable")
+        at = _starts(key[order])
+        total = np.add.reduceat(sets[order], at)
+        sets[order] = np.repeat(total, np.diff(np.append(at, len(key))))
+        out, low = [], 0
+        for number, part in zip(blocks, parts, strict=True):
+            here = np.flatnonzero(sets[low : low + len(part)] > 1)
+            if len(here):
+                out.append((0, number, planes(part[here]), owner[low + here].tobytes(), np.minimum(sets[low + here], 255).astype(np.uint8).tobytes()))
+            low += len(part)
         release()
-        return out
+        return pa.Table.from_batches([_batch(out, _POSTED)])
+
+    return posted.groupBy("range").applyInArrow(each, _ddl(_POSTED))
+
+
+def prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its first shingles a set of n must announce: two sets that link can't differ in so many."""
+    return n + percent * n // -100 + 1
+
+
+def _settled(counted: DataFrame, percent: int, ranges: int) -> DataFrame:
+    """Each document with its set's size and sums, and, where it has k > 0 keys, its m shingles that others hold, keys first; one document of each
+    block for each key (KEY), and edges from it to the block's others (EDGE)."""
+
+    def each(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("range", "keys", "owners", "counts")), strict=True))
+        number = table.column("block")[0].as_py()
+        _, blob, owners, docs = next(r for r in rows if r[0] < 0)
+        id_, known, n, one, two, _ = np.frombuffer(docs, np.int64).reshape(6, -1)
+        answers = [r for r in rows if r[0] >= 0]
+        key = np.concatenate([unplaned(r[1], U) for r in answers]) if answers else np.zeros(0, U)
+        owner = np.frombuffer(b"".join(r[2] for r in answers), np.uint16).astype(np.int64)
+        often = np.frombuffer(b"".join(r[3] for r in answers), np.uint8)
+        several = owner == SEVERAL
+        order = np.argsort(key[several])
+        local = unplaned(blob, U)
+        found = np.searchsorted(key[several][order], local)
+        key, owner, often = np.concatenate([key[~several], local]), np.concatenate([owner[~several], np.frombuffer(owners, np.uint16)]), np.concatenate([often[~several], often[several][order][found]])
+        order = np.lexsort((key, often, owner))
+        key, owner = key[order], owner[order]
+        shared = np.bincount(owner, minlength=len(n))
+        # shingles that no other set holds come first
+        k = np.clip(prefix(n, percent) - (n - shared), 0, shared)
+        start = np.cumsum(shared) - shared
+        hashes = [key[a : a + m].tobytes() if x else None for a, m, x in zip(start, shared, k, strict=True)]
+        size = len(n)
+        documents = [np.zeros(size, np.int64), np.full(size, number), pa.array(id_, mask=known == 0), n, one, two, k, shared, pa.array(hashes, pa.binary()), pa.nulls(size, pa.binary())]
+        is_key = np.arange(len(key)) - start[owner] < k[owner]
+        key, node, a, b = _chains(key[is_key], id_[owner[is_key]])
+        out = [(EDGE, number, *[None] * 6, a.tobytes(), b.tobytes())] if len(a) else []
+        where = _part(key, ranges)
+        edges = _starts(where)
+        out += [(KEY, int(where[x]), *[None] * 6, key[x:y].tobytes(), node[x:y].tobytes()) for x, y in zip(edges, [*edges[1:], len(key)][: len(edges)], strict=True)]
+        release()
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(x) for x in documents], schema=_FOUND), _batch(out, _FOUND)])
 
-    return docs.mapInArrow(cut, "bucket long, key binary, node binary, low binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return counted.groupBy("block").applyInArrow(each, _ddl(_FOUND))
 
 
-def _link(sizes: np.ndarray, value: np.ndarray, owner: np.ndarray, percent: int, fragments: int = 16) -> np.ndarray:
-    """Which pairs of sets link: overlaps are counted in one fragment of the order after another, and summed."""
-    n = len(sizes)
-    shared = np.zeros((n, n), np.int64)
-    for part in range(fragments):
-        here = (value >> U(60)) == U(part) if fragments == 16 else np.ones(len(value), bool)
-        name, of = np.unique(value[here], return_inverse=True)
-        who, often = owner[here], np.bincount(of, minlength=len(name))
-        column = np.cumsum(often > 1) - 1
-        for low in range(0, int((often > 1).sum()), 1 << 14):
-            pick = (often[of] > 1) & (column[of] >= low) & (column[of] < low + (1 << 14))
-            table = np.zeros((n, min(1 << 14, int((often > 1).sum()) - low)), np.float32)
-            table[who[pick], column[of[pick]] - low] = 1
-            shared += (table @ table.T).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - shared
-    return (100 * shared >= percent * union) & (shared > 0)
+def _chains(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest node of each key; and edges from it to the key's other nodes, each once."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    head = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    other = np.flatnonzero(~new & (head != node))
+    edges = np.unique(np.stack([head[other], node[other]]), axis=1) if len(other) else np.zeros((2, 0), np.int64)
+    return key[new], node[new], edges[0], edges[1]
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all documents which share a key."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, node = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("hashes", U), ("nodes", np.int64)))
+        _, _, a, b = _chains(key, node)
+        return pa.table({"a": a, "b": b})
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], names=["a", "b"])
+
+    within = found.where(F.col("kind") == EDGE).select("hashes", "nodes").mapInArrow(spread, "a long, b long")
+    return found.where(F.col("kind") == KEY).select("block", "hashes", "nodes").groupBy("block").applyInArrow(meet, "a long, b long").unionByName(within)
+
+
+def _overlaps(count: int, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How many values each two of `count` sets share."""
+    shared = np.zeros((count, count), np.int64)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    at = _starts(value)
+    often = np.diff(np.append(at, len(value)))
+    owner, often = owner[np.repeat(often > 1, often)], often[often > 1]
+    column = np.repeat(np.arange(len(often)), often)
+    for low in range(0, len(often), 1 << 14):
+        pick = slice(*np.searchsorted(column, [low, low + (1 << 14)]))
+        table = np.zeros((count, min(1 << 14, len(often) - low)), np.float32)
+        table[owner[pick], column[pick] - low] = 1
+        shared += (table @ table.T).astype(np.int64)
+    return shared
 
 
 def _groups(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -275,69 +287,68 @@ def _groups(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of the links within each tile. members: tile columns c, i, j, then id, hashes."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        sets = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
-        sizes = np.array([len(x) for x in sets])
-        label = _groups(_link(sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), percent), ids)
-        apart = label != ids
-        return pa.table({"a": label[apart], "b": ids[apart]})
+_CUT = pa.schema([("bundle", pa.int64()), ("part", pa.int64()), ("heads", pa.binary()), ("hashes", pa.binary())])
+_TOLD = pa.schema([*((c, pa.int64()) for c in ("bundle", "c", "i", "j")), ("ids", pa.binary()), ("sizes", pa.binary()), ("shared", pa.binary())])
+_PLACED = ("bundle", "cuts", "c", "i", "j", "id", "one", "n")
 
-    return members.groupBy("c", "i", "j").applyInArrow(compare, "a long, b long")
 
+def _tiles(placed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of the links within each tile (c, i, j). placed: c, i, j, cuts (fragments of the tile), block, id, one, m.
 
-def _hashes(docs: DataFrame, words: int) -> DataFrame:
-    """docs (id, text, then what else) with the text replaced by its shingles' hashes."""
-    rest = docs.columns[2:]
+    The overlaps of a tile's pairs are counted in each fragment apart, and summed for each pair.
+    """
+    bundles = max(1, -(-(placed.agg(F.sum("m")).first()[0] or 0) // BUNDLE))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            for i, j in slices(offsets, PART):
-                sets = Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                blobs = [sets.value[a:b].tobytes() for a, b in zip(sets.edges[:-1], sets.edges[1:], strict=True)]
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), *part.columns[2:]], names=["id", "hashes", *rest])
+            heads = np.stack([batch.column(k).to_numpy() for k in range(len(_PLACED))], axis=1)
+            out: dict[tuple[int, int], tuple[list, list]] = {}
+            for head, blob in zip(heads, batch.column(len(_PLACED)).to_pylist(), strict=True):
+                value = np.frombuffer(blob, U)
+                part = _part(value, int(head[1]))
+                for k in range(head[1]):
+                    own = value[part == k]
+                    h, v = out.setdefault((int(head[0]), k), ([], []))
+                    h.append([*head[2:], len(own)])
+                    v.append(own.tobytes())
+            yield _batch([(*key, np.array(h, np.int64).tobytes(), b"".join(v)) for key, (h, v) in out.items()], _CUT)
+
+    def count(table: pa.Table) -> pa.Table:
+        head = np.frombuffer(b"".join(table.column("heads").to_pylist()), np.int64).reshape(-1, 7)
+        value = np.frombuffer(b"".join(table.column("hashes").to_pylist()), U)
+        begin = np.cumsum(head[:, 6]) - head[:, 6]
+        order = np.lexsort(head[:, 4::-1].T)
+        tile = head[order, :3]
+        edges = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(axis=1)))
+        out = []
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            own = order[a:b]
+            sets = np.concatenate([value[begin[k] : begin[k] + head[k, 6]] for k in own])
+            shared = _overlaps(len(own), sets, np.repeat(np.arange(len(own)), head[own, 6]))
+            out.append((table.column("bundle")[0].as_py(), *map(int, tile[a]), head[own, 3].tobytes(), head[own, 5].tobytes(), shared.astype(np.uint32).tobytes()))
         release()
-
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(each, "id long, hashes binary" + "".join(f", {c} {kinds[c]}" for c in rest))
-
-
-def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """Size and sums of each set. Rows of size -1 hold the shingles that are in OFTEN sets of one part of the input, with their counts."""
-    names = ["id", "n", "one", "two", "key", "count"]
-
-    def common(values: list[np.ndarray]) -> pa.RecordBatch:
-        value = np.sort(np.concatenate(values))
-        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-        count = np.diff(np.append(at, len(value)))
-        often = count >= OFTEN
-        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (value[at][often].view(np.int64), count[often])]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, -1, 0, 0)] + lists, names=names)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, held = [], 0
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            for i, j in slices(offsets, PART):
-                sets = Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                one, two = sets.sums()
-                none = pa.nulls(j - i, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets.size), pa.array(one), pa.array(two), none, none], names=names)
-                values.append(sets.value)
-                held += len(sets.value)
-                if held > 1_500_000:
-                    yield common(values)
-                    values, held = [], 0
-        if held:
-            yield common(values)
+        return pa.Table.from_batches([_batch(out, _TOLD)])
+
+    def total(table: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sums: dict[tuple, np.ndarray] = {}
+        for *tile, ids, sizes, shared in zip(*(table.column(c).to_pylist() for c in _TOLD.names[1:]), strict=True):
+            key = (*tile, ids, sizes)
+            sums[key] = sums.get(key, 0) + np.frombuffer(shared, np.uint32).astype(np.int64)
+        for (*_, ids, sizes), shared in sums.items():
+            id_, n = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+            shared = shared.reshape(len(n), -1)
+            union = n[:, None] + n[None, :] - shared
+            label = _groups((100 * shared >= percent * union) & (shared > 0), id_)
+            a.append(label[label != id_])
+            b.append(id_[label != id_])
         release()
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return docs.mapInArrow(each, "id long, n long, one long, two long, key array<long>, count array<long>")
+    bundle = F.pmod(F.xxhash64("c", "i", "j"), F.lit(bundles)).alias("bundle")
+    sets = found.where(F.col("k") > 0).select("block", "id", "one", "n", "hashes")
+    held = placed.join(sets, ["block", "id", "one"]).select(bundle, *[F.col(c).cast("long") for c in _PLACED[1:]], "hashes")
+    return held.mapInArrow(cut, _ddl(_CUT)).groupBy("bundle", "part").applyInArrow(count, _ddl(_TOLD)).groupBy("bundle").applyInArrow(total, "a long, b long")
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -348,49 +359,66 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    mapped = written(_sizes(rows, words), "sizes")
-    sizes = mapped.where("n >= 0").select("id", "n", "one", "two")
-    often = mapped.where("n < 0").select(F.explode(F.arrays_zip("key", "count")).alias("x")).groupBy("x.key").agg(F.sum("x.count").alias("count"))
-    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "key").limit(COMMON).select("key").collect()], np.int64).view(U))
-    known = rows.where("id is not null")
-    buckets = max(1, -(-sizes.count() // DOCS_A_BUCKET))
-    near = written(components(_candidates(known, words, percent, buckets, common), "a", "b"), "clusters")
-    classes = written(sizes.where("id is not null and n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("rep")), "classes")
-    # one member of each class, in the cluster of all that it shares a segment with
-    members = written(near.join(classes.select(F.col("rep").alias("node")).distinct(), "node").select(F.col("node").alias("id"), F.col("label").alias("c")), "members")
-    counts = written(members.groupBy("c").count().where("count > 1").select("c", F.ceil(F.col("count") / TILE).alias("blocks"), F.ceil(F.col("count") / LEADERS).alias("gap")), "counts")
-    members = members.join(counts, "c")
-    sets = written(_hashes(known.join(members, "id").select("id", "text", "c", "blocks", "gap"), words), "sets")
+    ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE))
+    found = written(_settled(_counted(_posted(rows, words, ranges)), percent, max(1, ranges // 8)), "found")
+    all_ = found.where(F.col("kind") == DOCUMENT)
+    sized = all_.where("id is not null and n > 0")
+    classes = sized.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").drop("last")
+    same = sized.select("id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    # one document of each class, in the cluster of all that it shares a key with
+    near = written(components(_candidates(found), "a", "b"), "clusters")
+    first = sized.where("k > 0").groupBy("n", "one", "two").agg(F.min(F.struct("id", "block", "m", "k")).alias("x")).select("one", "x.*")
+    members = written(first.join(near, F.col("id") == F.col("node")).select("block", "id", "one", "m", "k", F.col("label").alias("c")), "members")
+    counts = members.groupBy("c").agg(F.count("*").alias("count"), F.sum("m").alias("sum")).where("count > 1")
+    blocks = F.ceil(F.col("count") / TILE)
+    counts = written(counts.select("c", blocks.alias("blocks"), F.ceil(F.col("count") / LEADERS).alias("gap"), F.ceil(F.col("sum") / blocks / FRAGMENT).alias("cuts")), "counts")
+    members = written(members.join(counts, "c"), "members")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(7), "id"), F.col("gap")) == 0)
     everywhere = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block)))
-    edges = written(_tiles(sets.select("c", everywhere.alias("i"), F.lit(0).alias("j"), "id", "hashes"), percent), "links")
-    edges = edges.unionByName(_left_apart(sets, edges, percent))
-    same = sizes.where("id is not null and n > 0").join(classes, ["n", "one", "two"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    edges = written(_tiles(members.select("c", everywhere.alias("i"), F.lit(0).cast("long").alias("j"), "cuts", "block", "id", "one", "m"), found, percent), "links")
+    edges = edges.unionByName(_left_apart(members.where("blocks > 1"), found, edges, percent))
     parts = components(edges.unionByName(same), "a", "b")
-    return sizes.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    return all_.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 
-def _left_apart(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+def _left_apart(large: DataFrame, found: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Links of large clusters between documents that no tile of the first round held together: whatever is outside of
-    a cluster's largest component, in blocks, against all blocks of the cluster."""
-    large = sets.where("blocks > 1").select("id", "c", "blocks").distinct()
+    a cluster's largest component meets, in groups, the documents with which the group shares a key."""
     if large.isEmpty():
         return edges.limit(0)
-    parts = components(edges.join(large.select(F.col("id").alias("a")), "a", "left_semi"), "a", "b")
-    labelled = written(large.join(parts, F.col("id") == F.col("node"), "left").select("id", "c", "blocks", F.coalesce("label", "id").alias("label")), "labelled")
+    parts = components(edges.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi"), "a", "b")
+    labelled = written(large.join(parts, F.col("id") == F.col("node"), "left").select("block", "id", "one", "m", "cuts", "c", F.coalesce("label", "id").alias("label")), "labelled")
     main = labelled.groupBy("c", "label").count().groupBy("c").agg(F.max(F.struct("count", "label")).alias("top")).select("c", F.col("top.label").alias("main"))
-    apart = written(labelled.join(main, "c").where("label != main").select("id", "c"), "apart")
+    apart = written(labelled.join(main, "c").where("label != main").drop("label", "main"), "apart")
     if apart.isEmpty():
         return edges.limit(0)
-    groups = written(apart.groupBy("c").agg(F.ceil(F.count("*") / TILE).alias("groups")), "groups")
-    all_of = sets.select("id", "hashes", "c", "blocks").join(groups, "c")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    group = F.pmod(F.xxhash64(F.lit(11), "id"), F.col("groups"))
+    groups = apart.groupBy("c").agg(F.ceil(F.count("*") / TILE).alias("groups"))
+    own = written(apart.join(groups, "c").withColumn("j", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("groups"))).drop("groups"), "groups")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            key = [np.frombuffer(x, np.int64)[:m] for x, m in zip(batch.column(1).to_pylist(), k, strict=True)]
+            who = pa.array(np.repeat(np.arange(batch.num_rows), k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), *(x.take(who) for x in batch.columns[2:])], names=["key", *rest])
+
+    # of the clusters in which any is apart, all documents with their keys
+    rest = ["block", "id", "one", "m", "cuts", "c"]
+    whole = large.join(apart.select("c").distinct(), "c", "left_semi").select(*rest)
+    sets = found.where(F.col("k") > 0).select("block", "id", "one", "k", "hashes")
+    held = written(whole.join(sets, ["block", "id", "one"]).select("k", "hashes", *rest).mapInArrow(keys, "key long, " + ", ".join(f"{c} long" for c in rest)), "keys")
+    asking = held.join(own.select("block", "id", "one", "c", "j"), ["block", "id", "one", "c"]).select("c", "key", "j").distinct()
+    touched = held.join(asking, ["c", "key"]).drop("key").unionByName(own).distinct()
+    touched = written(touched, "touched")
+    across = touched.groupBy("c", "j").agg(F.ceil(F.count("*") / TILE).alias("across"))
+    # the group's own documents stand in each of its tiles, which the others are dealt over
+    mine = own.select("block", "id", "one", "c", "j", F.lit(True).alias("mine"))
+    placed = touched.join(across, ["c", "j"]).join(mine, ["block", "id", "one", "c", "j"], "left")
     zero = F.lit(0).cast("long")
-    against = all_of.select("c", block.alias("i"), F.explode(F.sequence(zero, F.col("groups") - 1)).alias("j"), "id", "hashes")
-    own = all_of.join(apart.select("id"), "id", "left_semi").select("c", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), group.alias("j"), "id", "hashes")
-    return written(_tiles(against.unionByName(own), percent), "links")
+    tile = F.explode(F.when(F.col("mine"), F.sequence(zero, F.col("across") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "one"), F.col("across")))))
+    placed = written(placed.select("c", tile.alias("i"), (F.col("j") + 1).alias("j"), "cuts", "block", "id", "one", "m"), "placed")
+    return written(_tiles(placed, found, percent), "links")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -398,8 +426,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Of rows that repeat an id and its text one stays; different texts of one id are different documents. Rows without an id stay."""
     if docs.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").isEmpty():
         found = link(docs, id_column, text_column, words, percent)
-        stay = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_stays"))
-        kept = docs.join(stay, F.col(id_column) == F.col("_stays"), "left_semi")
+        mark = fresh("stays", docs)
+        stay = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias(mark))
+        kept = docs.join(stay, F.col(id_column) == F.col(mark), "left_semi")
     else:
         kept = _keep_texts(docs, id_column, text_column, words, percent)
     return kept.unionByName(docs.where(F.col(id_column).isNull()))
@@ -412,6 +441,7 @@ def _keep_texts(docs: DataFrame, id_column: str, text_column: str, words: int, p
     apart = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), text.alias("text"), which.alias("which")).dropDuplicates(["id", "which"])
     apart = written(apart.withColumn("node", F.monotonically_increasing_id()), "apart")
     found = link(apart, "node", "text", words, percent).join(apart.select("node", "id", "which"), "node")
-    stay = written(found.groupBy("component_id").agg(F.min(F.struct("id", "which")).alias("x")).select(F.col("x.id").alias("_stays"), F.col("x.which").alias("_text")), "stay")
-    first = docs.withColumn("_which", which).dropDuplicates([id_column, "_which"])
-    return first.join(stay, (F.col(id_column) == F.col("_stays")) & (F.col("_which") == F.col("_text")), "left_semi").drop("_which")
+    mark, other, name = (fresh(x, docs) for x in ("stays", "text", "which"))
+    stay = written(found.groupBy("component_id").agg(F.min(F.struct("id", "which")).alias("x")).select(F.col("x.id").alias(mark), F.col("x.which").alias(other)), "stay")
+    first = docs.withColumn(name, which).dropDuplicates([id_column, name])
+    return first.join(stay, (F.col(id_column) == F.col(mark)) & (F.col(name) == F.col(other)), "left_semi").drop(name)

@@ -22,14 +22,24 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (as in tests on one machine), a folder of our own is set."""
+    """spark.checkpoint.dir. Where it is unset, a folder of our own is set on one machine, as in tests; a cluster needs the setting."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("motifold.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="motifold-")
         spark.conf.set("motifold.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again, so that its lineage ends there."""
     spark = df.sparkSession
@@ -51,10 +61,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) for every node of the edges: label is the smallest node that it is connected with.
 
     Each round takes the smallest label among a node's neighbours and then the label's own label, until none changes.
-    Minima are aggregated before the shuffle, and the joins read plain written tables, whose skewed keys Spark splits.
+    Edges are dealt by both ends, so that a node with many is no task's own. Minima are aggregated before the shuffle, and the joins read plain written tables, whose skewed keys Spark splits.
     """
     both = written(
-        edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src != dst").distinct()
+        edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src != dst").repartition("src", "dst").distinct()
         .select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*"),
         "edges",
     )

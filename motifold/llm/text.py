@@ -87,6 +87,15 @@ class Hashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second bytes and so on; of ordered values the high ones compress to little."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplaned(data: bytes, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
+
+
 def release() -> None:
     """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()
