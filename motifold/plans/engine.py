@@ -33,9 +33,10 @@ class Stages:
 
 
 class Engine:
-    def __init__(self, graph: LongGraph, strict_labels: bool = True, need_edge: bool = False):
-        """strict_labels: unknown labels and types match nothing; else they restrict nothing. need_edge: reject patterns without an edge."""
-        self.graph, self.strict_labels, self.need_edge = graph, strict_labels, need_edge
+    def __init__(self, graph: LongGraph, strict_labels: bool = True, need_edge: bool = False, products: bool = True):
+        """strict_labels: unknown labels and types match nothing; else they restrict nothing. need_edge: reject patterns without an edge.
+        products: answer patterns of several parts that share no node, whose bindings are all combinations; else reject them."""
+        self.graph, self.strict_labels, self.need_edge, self.products = graph, strict_labels, need_edge, products
 
     @classmethod
     def of_database(cls, spark: SparkSession, database: str, as_of: str | None = None, **options: bool) -> Engine:
@@ -49,6 +50,8 @@ class Engine:
         pattern = cypher.parse(text)
         if self.need_edge and not pattern.edges:
             raise cypher.CypherError("Query must contain at least one edge")
+        if not self.products and not pattern.connected:
+            raise cypher.CypherError("The pattern's parts share no node, and products are refused")
         return pattern
 
     def bindings(self, text: str) -> DataFrame:

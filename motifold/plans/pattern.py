@@ -127,6 +127,15 @@ class Pattern:
     def either(self, node: str) -> list[Edge]:
         return [e for e in self.edges.values() if node in (e.src, e.dst)]
 
+    @property
+    def connected(self) -> bool:
+        """Whether edges lead from any node to every other."""
+        seen, left = set(list(self.nodes)[:1]), list(self.edges.values())
+        while near := [e for e in left if e.src in seen or e.dst in seen]:
+            seen |= {v for e in near for v in (e.src, e.dst)}
+            left = [e for e in left if e not in near]
+        return len(seen) == len(self.nodes)
+
     @property
     def named_nodes(self) -> list[str]:
         return [n.name for n in self.nodes.values() if not n.anonymous]

@@ -72,6 +72,9 @@ def test_modes_and_results(graph):
     loose = Engine(graph, strict_labels=False)
     assert sorted(r[0] for r in loose.bindings("MATCH (x:Nope)-[:`director of`]->(e:Entity) RETURN x").select("x").collect()) == ["o1", "o2"]
     assert Engine(graph, need_edge=True).run("MATCH (a) RETURN a") == (None, "Query must contain at least one edge")
+    wary = Engine(graph, products=False)
+    assert wary.run("MATCH (a)-[]->(b), (c)-[]->(d) RETURN a")[1] == "The pattern's parts share no node, and products are refused"
+    assert wary.parse("MATCH (a)-[]->(b), (c)-[]->(d), (d)-[]->(a), (a) RETURN a").connected and not wary.parse("MATCH (a) RETURN a").edges
     found, error, stages = Engine(graph).run_with_timings(f"{M1} RETURN o")
     assert error is None and found[1] == 2 and "Matching" in stages.seconds and "total" in str(stages)
     rows = Engine(graph).query(f"{M1} RETURN o.name AS n, e ORDER BY n DESC LIMIT 1").collect()
