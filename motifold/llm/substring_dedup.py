@@ -5,8 +5,9 @@ anchor, the least hash of its grams of 32 bytes: equal windows have equal anchor
 windows with one anchor form a run. Runs whose anchor occurs once are unique. Equal runs are counted and collapsed into one, so a shard holds
 the different texts around each repeated anchor, and each text once. In a shard, suffix arrays are built part by part by Larsson-Sadakane
 refinement; windows whose common prefix with a neighbour (Kasai) has the whole length are repeats. Where an anchor's texts span
-several parts, the parts are merged by binary search: the different windows of one are looked up in the sorted windows of the other.
-Anchors with many different texts are spread over more shards by the anchor's place in the window, which equal windows share.
+several parts, the parts are merged by binary search: the different windows of each are looked up among the sorted windows of all, by their hashes.
+Anchors with many different texts are spread over more shards by the anchor's place in the window, and by the bytes that all windows with about this place
+hold; equal windows share both.
 
 Repeats are judged on the input, overlaps count, and matches never cross documents. A null text counts as an empty one. Rows that
 repeat an id and a text are two places of that text. Every row gets one row.
@@ -99,8 +100,15 @@ def _texts(rows: DataFrame, shards: int, length: int) -> DataFrame:
             spreads = spread[which] > 0
             begin = np.where(spreads, np.maximum(0, place[which] - (block + 1) * SPREAD + 1), 0)
             end = np.where(spreads, np.minimum(windows[which], place[which] - block * SPREAD + 1), windows[which])
-            shard = (mix(anchor[which].view(U) + block.astype(U)) % U(shards)).astype(np.int64)
-            head = np.stack([anchor[which] ^ (block * 0x632BE59BD9B4E019), key[which], start[which] + begin, end - begin, several[which]], axis=1)
+            # such a piece's windows all hold the bytes around the anchor that are in its shortest reach to either side
+            core = np.zeros(len(which), U)
+            if spreads.any():
+                centre = (offsets[owner] + start + place)[which[spreads]]
+                first, last_ = centre - block[spreads] * SPREAD, centre - np.minimum((block[spreads] + 1) * SPREAD - 1, length - GRAM) + length
+                core[spreads] = mix(Hashes(data).of(first, last_) + block[spreads].astype(U))
+            label = anchor[which].view(U) ^ core
+            shard = (mix(label) % U(shards)).astype(np.int64)
+            head = np.stack([label.view(np.int64), key[which], start[which] + begin, end - begin, several[which]], axis=1)
             order = np.argsort(shard, kind="stable")
             edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
             for a, b in zip(edges, [*edges[1:], len(order)][: len(edges)], strict=True):
@@ -112,61 +120,28 @@ def _texts(rows: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 class Part:
-    """The suffix array of some texts, and the windows of `length` bytes in it."""
+    """The windows of `length` bytes of some texts, in the order of their suffix array."""
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int):
         n = len(data)
-        self.data = data
-        self.ends = np.repeat(np.cumsum(sizes), sizes)
+        ends = np.repeat(np.cumsum(sizes), sizes)
         first = np.zeros(n, np.int64)
         for k in range(4):
             shifted = np.zeros(n, np.int64)
             shifted[: n - k] = data[k:].astype(np.int64) + 1
-            first = first << 9 | np.where(np.arange(n) + k < self.ends, shifted, 0)
-        order = suffix_array(first, self.ends, 4)
-        shared = common_prefixes(data, self.ends, order, length)
-        self.window = self.ends - np.arange(n) >= length
+            first = first << 9 | np.where(np.arange(n) + k < ends, shifted, 0)
+        order = suffix_array(first, ends, 4)
+        shared = common_prefixes(data, ends, order, length)
+        self.window = ends - np.arange(n) >= length
         self.repeated = self.window & (neighbours(order, shared) >= length)
-        #: The different windows in their order: one suffix for each, and which of them each suffix has.
+        #: The different windows in their order, by their hashes, and which of them starts where.
         windows = order[self.window[order]]
         fresh = shared[windows] < length
-        self.different = windows[fresh]
-        self.name = np.full(n, -1, np.int64)
+        different = windows[fresh]
+        self.hashes = Hashes(data).of(different, different + length)
+        self.name = np.full(n, -1, np.int32)
         self.name[windows] = np.cumsum(fresh) - 1
 
-    def meet(self, other: Part, length: int) -> None:
-        """Mark the windows that both parts have, looking up ours among the other's by binary search."""
-        ours, theirs = self.different, other.different
-        if not len(ours) or not len(theirs):
-            return
-        low, high = np.zeros(len(ours), np.int64), np.full(len(ours), len(theirs) - 1, np.int64)
-        hit = np.full(len(ours), -1, np.int64)
-        live = np.arange(len(ours))
-        while len(live):
-            middle = (low[live] + high[live]) // 2
-            order = _compare(self.data, ours[live], other.data, theirs[middle], length)
-            hit[live[order == 0]] = middle[order == 0]
-            low[live[order > 0]] = middle[order > 0] + 1
-            high[live[order < 0]] = middle[order < 0] - 1
-            live = live[(order != 0) & (low[live] <= high[live])]
-        mine, its = np.flatnonzero(hit >= 0), hit[hit >= 0]
-        self.repeated |= self.window & np.isin(self.name, mine)
-        other.repeated |= other.window & np.isin(other.name, its)
-
-
-def _compare(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
-    """-1, 0 or 1 as the windows of a at p sort before, with or after those of b at q."""
-    out = np.zeros(len(p), np.int64)
-    live = np.arange(len(p))
-    for k in range(length):
-        x, y = a[p[live] + k].astype(np.int64), b[q[live] + k].astype(np.int64)
-        apart = x != y
-        out[live[apart]] = np.sign(x - y)[apart]
-        live = live[~apart]
-        if not len(live):
-            break
-    return out
-
 
 def repeats(head: np.ndarray, data: np.ndarray, length: int, array: int = ARRAY) -> Iterator[tuple[int, int, int]]:
     """(key, start, windows) of maximal stretches of repeated windows in the texts of a shard. head: anchor, key, start, windows, several."""
@@ -180,7 +155,6 @@ def repeats(head: np.ndarray, data: np.ndarray, length: int, array: int = ARRAY)
             held = 0
         held += sizes[at]
     cuts.append(len(order))
-    open_parts: list[tuple[np.ndarray, Part]] = []
 
     def close(rows: np.ndarray, part: Part) -> Iterator[tuple[int, int, int]]:
         hit = part.repeated | (part.window & np.repeat(head[rows, 4] > 0, sizes[rows]))
@@ -193,17 +167,17 @@ def repeats(head: np.ndarray, data: np.ndarray, length: int, array: int = ARRAY)
             within = at[first] - (np.cumsum(sizes[rows]) - sizes[rows])[text[at[first]]]
             yield from zip(head[own, 1].tolist(), (head[own, 2] + within).tolist(), many.tolist(), strict=True)
 
+    parts = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         rows = order[a:b]
-        part = Part(np.concatenate([data[begins[r] : begins[r] + sizes[r]] for r in rows]), sizes[rows], length)
-        for before, earlier in open_parts:
-            if head[before[-1], 0] == head[rows[0], 0]:
-                part.meet(earlier, length)
-        while open_parts and head[open_parts[0][0][-1], 0] != head[rows[-1], 0]:
-            yield from close(*open_parts.pop(0))
-        open_parts.append((rows, part))
-    for x in open_parts:
-        yield from close(*x)
+        parts.append((rows, Part(np.concatenate([data[begins[r] : begins[r] + sizes[r]] for r in rows]), sizes[rows], length)))
+    # each part looks its different windows up among those of all parts
+    table = np.sort(np.concatenate([part.hashes for _, part in parts])) if len(parts) > 1 else np.zeros(0, U)
+    for rows, part in parts:
+        if len(table):
+            elsewhere = np.searchsorted(table, part.hashes, "right") - np.searchsorted(table, part.hashes) > 1
+            part.repeated[part.window] |= elsewhere[part.name[part.window]]
+        yield from close(rows, part)
 
 
 def _repeated(packed: DataFrame, length: int) -> DataFrame:
