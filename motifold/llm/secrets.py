@@ -36,7 +36,7 @@ ALPHABETS = (
     ("^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-BINS = 1000
+BINS = 30_000
 
 
 def _q(value: str) -> str:
