@@ -10,7 +10,8 @@ before a document and half of its own is within the rest. So the words taken dif
 Prefix sums need no sort of a whole source: 256 ranges of the key, then 256 ranges in the one where the rest ends, are summed first,
 and only the documents in one 65536th of the keys are sorted. Documents meet nothing but one row for each source.
 
-A null text has size 0. Null ids share one key, and rows that repeat an id and size are taken together. An empty table gives none.
+A null text has size 0. Rows without an id have keys from their texts. Rows with equal keys, ids and sizes follow by a hash of the text; of equal rows as many
+are taken as the target holds, whichever. Other columns of any name do no harm. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Symbols that mark junk; a text's quality weight falls with their share.
 SYMBOLS = "#*$%&|<>"
+#: The order in which a source's documents are taken.
+RANK = ("_key", "_id", "_size", "_tie")
 
 
 def quality(text: Column) -> Column:
@@ -35,11 +38,12 @@ def quality(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> dict[str, Column]:
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("\0"), text)).cast("binary")), 1, 13), 16, 10).cast("double")
     return {
         "_id": F.col(id_column).cast("string"),
         "_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
         "_source": F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit("t")),
+        "_tie": F.xxhash64(text),
         "_key": -F.log((number + 0.5) / float(1 << 52)) / quality(text),
     }
 
@@ -75,8 +79,10 @@ def _sources(keyed: DataFrame, weights: tuple[int, ...], share: float, most: flo
     rest = first.join(rest, "_source").select("_source", "_top", (F.col("_rest") - F.col("_before")).alias("_rest"))
     second = placed.join(rest, ["_source", "_top"]).groupBy("_source", "_place").agg(F.sum("_size").alias("_words"), F.first("_rest").alias("_rest"))
     second = written(_ends(second, "_place").join(rest, "_source").select("_source", "_place", (F.col("_rest") - F.col("_before")).alias("_rest")), "ranges")
-    last = placed.join(second, ["_source", "_place"]).withColumn("_run", F.sum("_size").over(W.partitionBy("_source").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, 0)))
-    cut = last.where("_run - _size / 2.0D <= _rest").groupBy("_source").agg(F.max(F.struct("_key", "_id", "_size")).alias("_cut"))
+    last = placed.join(second, ["_source", "_place"]).withColumn("_run", F.sum("_size").over(W.partitionBy("_source").orderBy(*RANK).rowsBetween(W.unboundedPreceding, 0)))
+    # the last place of which any row is taken, and how many of its equal rows
+    equal = last.groupBy("_source", *RANK).agg(F.count("*").alias("_all"), F.count_if(F.expr("_run - _size / 2.0D <= _rest")).alias("_some")).where("_some > 0")
+    cut = equal.groupBy("_source").agg(F.max(F.struct(F.struct(*RANK).alias("_at"), "_all", "_some")).alias("_cut"))
     return written(sized.join(second.select("_source", "_place"), "_source", "left").join(cut, "_source", "left").drop("_rest"), "sources")
 
 
@@ -85,8 +91,15 @@ def _decided(docs: DataFrame, id_column: str, text_column: str, source_column: s
     parts = _keyed(docs, id_column, text_column, source_column)
     sources = _sources(written(docs.select(*[c.alias(k) for k, c in parts.items()]), "keyed"), weights, share, most)
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in parts.items()]).withColumn("_range", _range()).join(sources, "_source")
-    once = (F.col("_range") < F.col("_place")) | ((F.col("_range") == F.col("_place")) & (F.struct("_key", "_id", "_size") <= F.col("_cut")))
-    return joined.withColumn("_copies", F.col("_epochs") + F.coalesce(once, F.lit(False)).cast("long"))
+    last = F.coalesce((F.col("_range") == F.col("_place")) & (F.struct(*RANK) == F.col("_cut._at")), F.lit(False))
+    once = (F.col("_range") < F.col("_place")) | ((F.col("_range") == F.col("_place")) & (F.struct(*RANK) <= F.col("_cut._at")))
+    copies = lambda df, taken: df.withColumn("_copies", F.col("_epochs") + F.coalesce(taken, F.lit(False)).cast("long"))
+    if sources.where("_cut._some < _cut._all").isEmpty():
+        return copies(joined, once)
+    # some of a source's equal rows are taken: only these are numbered
+    split = last & (F.col("_cut._some") < F.col("_cut._all"))
+    numbered = joined.where(split).withColumn("_number", F.row_number().over(W.partitionBy("_source").orderBy(F.lit(1))))
+    return copies(joined.where(~F.coalesce(split, F.lit(False))), once).unionByName(copies(numbered, F.col("_number") <= F.col("_cut._some")).drop("_number"))
 
 
 def plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
