@@ -10,7 +10,8 @@ Pivots are chosen from a bounded sample; every vector is indexed, and the result
 block goes to no group that is too far for all of its queries. Each group returns k rows at most for a query.
 
 Vectors that are null, or hold null or non-finite components, take no part; shorter ones count as padded with zeros. Equal scores go to the smaller
-id. Rows that repeat an id are separate candidates, and none is a candidate of its own id's queries. Components must be below 2**31.
+id. Rows that repeat an id are separate candidates, and none is a candidate of its own id's queries. Other columns are not read; an empty table gives no rows.
+Components are 64-bit integers; where a sum of products might leave their range, it is computed without one, and a score that leaves it, a vector with itself included, is an error.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from motifold.llm.shared import small_batches, written
 
-#: Pivots, vectors in the samples for pivots and for first thresholds, in a cell, cells in a group, queries in a block.
-PIVOTS, SAMPLE, LARGEST, CELL, GROUP, BLOCK = 16, 1024, 512, 512, 16, 256
+#: Pivots, vectors in the samples for pivots and for first thresholds, in a cell, cells in a group, queries in a block, and beside a group in one task.
+PIVOTS, SAMPLE, LARGEST, CELL, GROUP, BLOCK, TOGETHER = 16, 1024, 512, 512, 16, 256, 1 << 15
 #: Groups up to which their bounds are sent to all tasks; beyond that blocks are crossed with the table of all groups, and tested there.
 GROUPS_SENT = 10_000
 
@@ -50,6 +51,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Vectors of the sample, each the farthest from those before it."""
     picked = [0]
+    sample = sample.astype(np.float64)
     far = ((sample - sample[0]) ** 2).sum(axis=1)
     while len(picked) < min(count, len(sample)):
         picked.append(int(far.argmax()))
@@ -58,7 +60,7 @@ def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.stack([((vectors - p) ** 2).sum(axis=1) for p in pivots], axis=1).astype(np.float64))
+    return np.sqrt(np.stack([((vectors - p).astype(np.float64) ** 2).sum(axis=1) for p in pivots], axis=1))
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -68,7 +70,12 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         return (queries.astype(np.float32) @ vectors.astype(np.float32).T).astype(np.int64)
     if most < 1 << 53:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return queries @ vectors.T
+    if most < 1 << 62:
+        return queries @ vectors.T
+    exact = queries.astype(object) @ vectors.T.astype(object)
+    if exact.size and max(exact.max(), -exact.min()) >= 1 << 63:
+        raise OverflowError("a score does not fit 64 bits")
+    return exact.astype(np.int64)
 
 
 def _best(row: np.ndarray, name: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,9 +123,11 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
     vector = F.transform(F.col(vector_column), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     rows = table.where(valid(F.col(vector_column)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = written(rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), "vectors")
-    count, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    count, asks, width, most = rows.agg(F.count("*"), F.count_if("query"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
     if not count:
         return spark.createDataFrame([], names)
+    if (most or 0) >= float(1 << 63):  # what floor() returns for larger values
+        raise OverflowError("a scaled component does not fit 64 bits")
     taken = lambda part: _matrix(pa.array([r["v"] for r in part], pa.list_(pa.int64())), width)
     pivots = _pivots(taken(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()), PIVOTS)
     large = rows.orderBy(F.desc("norm"), "id").limit(LARGEST).select("id", "v").collect()
@@ -143,7 +152,7 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
                 for i in range(a, b, CELL):
                     part = batch.slice(i, min(CELL, b - i))
                     matrix, distance = _matrix(part.column(1), width), part.column(5).to_numpy()
-                    row = {"pivot": int(pivot[a]), "low": float(distance.min()), "high": float(distance.max()), "most": float(np.sqrt(part.column(3).to_numpy().max())), "ids": part.column(0).to_numpy().tobytes(), "vectors": matrix.astype(np.int32).tobytes(), "queries": np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False)).astype(np.int64).tobytes()}
+                    row = {"pivot": int(pivot[a]), "low": float(distance.min()), "high": float(distance.max()), "most": float(np.sqrt(part.column(3).to_numpy().max())), "ids": part.column(0).to_numpy().tobytes(), "vectors": matrix.astype(np.int64).tobytes(), "queries": np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False)).astype(np.int64).tobytes()}
                     yield pa.RecordBatch.from_pylist([row], _CELL)
 
     cells = written(sorted_.mapInArrow(pack, "pivot long, low double, high double, most double, ids binary, vectors binary, queries binary").withColumn("group", F.spark_partition_id().cast("long")), "cells")
@@ -152,7 +161,7 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
     known = [tuple(r) for r in bounds.collect()] if few else None
 
     def asking(group: int, name: np.ndarray, block: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"group": group, "ids": name.tobytes(), "vectors": block.astype(np.int32).tobytes(), "least": least.tobytes()}], _ASKED)
+        return pa.RecordBatch.from_pylist([{"group": group, "ids": name.tobytes(), "vectors": block.astype(np.int64).tobytes(), "least": least.tobytes()}], _ASKED)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of queries, once for each group that may hold one of their best; where the groups are not known, once for all."""
@@ -161,7 +170,7 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
             for name, data, at in zip(*(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True):
                 own = np.frombuffer(at, np.int64)
                 ids.append(np.frombuffer(name, np.int64)[own])
-                vectors.append(np.frombuffer(data, np.int32).reshape(-1, width)[own])
+                vectors.append(np.frombuffer(data, np.int64).reshape(-1, width)[own])
             names_, matrix = np.concatenate(ids), np.concatenate(vectors).astype(np.int64)
             for i in range(0, len(names_), BLOCK):
                 name, block = names_[i : i + BLOCK], matrix[i : i + BLOCK]
@@ -184,7 +193,7 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
         for batch in batches:
             for r in batch.to_pylist():
                 name, least = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["least"], np.int64)
-                block = np.frombuffer(r["vectors"], np.int32).reshape(-1, width).astype(np.int64)
+                block = np.frombuffer(r["vectors"], np.int64).reshape(-1, width)
                 norm, distance = np.sqrt((block.astype(np.float64) ** 2).sum(axis=1)), _distances(block, pivots)
                 near = np.any([_bound(norm, distance[:, b["pivot"]], b["low"], b["high"], b["most"]) >= least for b in r["bounds"]], axis=0)
                 if near.any():
@@ -197,17 +206,21 @@ def search(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector
         asked = crossed.select("group", "ids", "vectors", "least", "bounds").mapInArrow(meet, "group long, ids binary, vectors binary, least binary")
 
     def answer(own: pa.Table, queries: pa.Table) -> pa.Table:
-        held = [r | {"ids": np.frombuffer(r["ids"], np.int64), "vectors": np.frombuffer(r["vectors"], np.int32).reshape(-1, width).astype(np.int64)} for r in own.to_pylist()]
+        held = [r | {"ids": np.frombuffer(r["ids"], np.int64), "vectors": np.frombuffer(r["vectors"], np.int64).reshape(-1, width)} for r in own.drop_columns(["salt"]).to_pylist()]
         out: list[list[np.ndarray]] = [[], [], []]
         for q in queries.to_pylist() if held else ():
             ids = np.frombuffer(q["ids"], np.int64)
-            found = search_group(held, ids, np.frombuffer(q["vectors"], np.int32).reshape(-1, width).astype(np.int64), np.frombuffer(q["least"], np.int64), pivots, k)
+            found = search_group(held, ids, np.frombuffer(q["vectors"], np.int64).reshape(-1, width), np.frombuffer(q["least"], np.int64), pivots, k)
             for x, y in zip(out, (ids[found[0]], *found[1:]), strict=True):
                 x.append(y)
         query, name, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
         return pa.table({"query_id": query, "id": name, "score": score})
 
-    found = cells.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(answer, "query_id long, id long, score long")
+    # a group with more queries than one task should hold is given to several
+    salts = max(1, -(-asks // TOGETHER))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
+    held_ = cells.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    found = held_.groupBy("group", "salt").cogroup(asked.groupBy("group", "salt")).applyInArrow(answer, "query_id long, id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).alias("rank")
     return found.select("query_id", rank, F.col("id").alias(id_column), "score").where(F.col("rank") <= k)
 
