@@ -45,6 +45,11 @@ class Encoder:
         kind = model["model"]
         if kind["type"] != "BPE" or kind.get("continuing_subword_prefix") or kind.get("end_of_word_suffix") or model.get("normalizer") or (model["pre_tokenizer"] or {}).get("type") != "ByteLevel":
             raise ValueError("only byte-level BPE vocabularies are read")
+        split = model["pre_tokenizer"]
+        if split.get("add_prefix_space") or not split.get("use_regex", True) or kind.get("dropout") or kind.get("ignore_merges") or kind.get("byte_fallback"):
+            raise ValueError("a prefix space, splitting without the pattern, dropout, ignored merges and byte fallback are not handled")
+        if any(t.get(flag) for t in model["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take spaces or whole words are not handled")
         byte = _characters()
         as_bytes = lambda token: bytes(byte[c] for c in token)
         vocab = {as_bytes(t): i for t, i in kind["vocab"].items() if all(c in byte for c in t)}

@@ -54,6 +54,17 @@ def _sums(index: np.ndarray, weight: np.ndarray, at: np.ndarray, count: int) ->
     return out
 
 
+def downhill(bias: float, weight: np.ndarray, place: np.ndarray, sentence: np.ndarray, text: np.ndarray, total: int, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes of the documents' mean loss by the weights and the bias. place, sentence: words; text: of each of `total` sentences its document."""
+    z = np.clip(bias + _sums(sentence, weight, place, total), -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    clean = np.minimum(np.bincount(text, np.logaddexp(0, z), len(label)), 50)  # -log of the chance that no sentence is toxic
+    # d loss / d clean: 1 for clean documents, -(1 - q) / q for toxic ones, where q is the chance of being toxic
+    slope = np.where(label == 1, -1 / np.expm1(np.maximum(clean, 1e-3)), 1.0) / len(label)
+    by = slope[text] * p
+    return _sums(place, by, sentence, len(weight)), by.sum()
+
+
 class Model:
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rounds: int = 250, least: int = 3, support: float = 1.0):
         """bags: for each document the places of its words and which of its sentences each is in."""
@@ -80,16 +91,10 @@ class Model:
         text, total = np.repeat(np.arange(len(bags)), counts), int(first[-1])
         step, moment, scale = 0.08, np.zeros(len(weight) + 1), np.full(len(weight) + 1, 1e-10)
         for _ in range(rounds):
-            z = np.clip(bias + _sums(sentence, weight, place, total), -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            clean = np.minimum(np.bincount(text, np.logaddexp(0, z), len(bags)), 50)  # -log of the chance that no sentence is toxic
-            # d loss / d clean: 1 for clean documents, -(1 - q) / q for toxic ones, where q is the chance of being toxic
-            slope = np.where(label == 1, -1 / np.expm1(np.maximum(clean, 1e-3)), 1.0) / len(bags)
-            by = slope[text] * p
-            slope_of = _sums(place, by, sentence, len(weight))
+            slope_of, slope_of_bias = downhill(bias, weight, place, sentence, text, total, label)
             # the penalty holds at 0 what would serve fewer than `support` documents
             held = np.where(weight != 0, slope_of + penalty * np.sign(weight), np.sign(slope_of) * np.maximum(np.abs(slope_of) - penalty, 0))
-            grad = np.append(held, by.sum())
+            grad = np.append(held, slope_of_bias)
             moment = 0.9 * moment + 0.1 * grad
             scale = 0.99 * scale + 0.01 * grad**2
             move = step * moment / (np.sqrt(scale) + 1e-7)
