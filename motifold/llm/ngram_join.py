@@ -8,7 +8,7 @@ The hashes are cut into ranges. Blocks of documents send their distinct shingles
 that are in two or more. Shingles of one set alone can't be shared, so most documents drop out here, and the others keep the rest of their shingles.
 
 Candidates form clusters. The shingles of a cluster are again cut into fragments of the hashes; the overlaps of all pairs are counted in each
-fragment apart, and summed by pair. Tiles have at most about 100 sets; a larger cluster is dealt over many, each with some common leaders. What
+fragment apart, and summed by pair. Tiles have at most about 100 sets; a larger cluster is dealt over many, each with some common leaders, taken from those with the fewest shingles of their own. What
 the leaders leave outside of the cluster's largest component then meets, a hundred at a time, all documents with which they share a key. Only a spanning tree of the
 links of each tile leaves it.
 
@@ -34,13 +34,13 @@ from motifold.llm.text import LOWER, Hashes, column_bytes, mix, planes, release,
 
 U = np.uint64
 #: Bytes of text handled at once, shingles and documents of a block, bytes of text for each range of the hashes.
-PART, BLOCK, BLOCK_DOCS, RANGE = 1 << 19, 800_000, 60_000, 8 << 20
+PART, BLOCK, BLOCK_DOCS, RANGE = 1 << 19, 800_000, 30_000, 8 << 20
 #: Sets in a tile, leaders of a large cluster, shingles in a fragment of a tile, and in the tiles of one task.
-TILE, LEADERS, FRAGMENT, BUNDLE = 100, 16, 1 << 12, 1 << 19
+TILE, LEADERS, FRAGMENT, BUNDLE = 100, 16, 1 << 13, 1 << 19
 #: Bits of a shingle's hash. Two different shingles of a pair of sets of 1,000 are alike with a chance of 1 in 10**11.
 BITS = 56
-#: Marks a shingle that several sets of its block hold.
-SEVERAL = 0xFFFF
+#: Marks of owners: a shingle that several sets of its block hold; a key that stands for a whole set.
+SEVERAL, WHOLE = 0xFFFF, 0x8000
 
 
 class Sets:
@@ -134,11 +134,16 @@ def _posted(docs: DataFrame, words: int, ranges: int) -> DataFrame:
         several = np.repeat(count > 1, count)
         own = np.stack([id_, known, n, one, two, stands]).astype(np.int64)
         rows = [(-1 - number, number, planes(key[several]), owner[several].tobytes(), own.tobytes())]
-        distinct, holder = key[at], np.where(count > 1, SEVERAL, owner[at]).astype(np.uint16)
+        # beside the shingles each whole set has a key, by which one of all blocks is chosen to stand for equal sets
+        own = np.flatnonzero(stands)
+        distinct = np.concatenate([key[at], mix(one[own].view(U) + mix(two[own].view(U))) >> U(64 - BITS)])
+        holder = np.concatenate([np.where(count > 1, SEVERAL, owner[at]), own | WHOLE]).astype(np.uint16)
+        order = np.argsort(distinct, kind="stable")
+        distinct, holder, count = distinct[order], holder[order], np.append(count, np.ones(len(own), np.int64))[order]
         where = _part(distinct, ranges)
         edges = _starts(where)
         for a, b in zip(edges, [*edges[1:], len(where)][: len(edges)], strict=True):
-            rows.append((int(where[a]), number, planes(distinct[a:b]), holder[a:b].tobytes(), count[a:b][count[a:b] > 1].astype(np.uint32).tobytes()))
+            rows.append((int(where[a]), number, planes(distinct[a:b]), holder[a:b].tobytes(), count[a:b][holder[a:b] == SEVERAL].astype(np.uint32).tobytes()))
         return _batch(rows, _POSTED)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +180,11 @@ def _counted(posted: DataFrame) -> DataFrame:
         at = _starts(key[order])
         total = np.add.reduceat(sets[order], at)
         sets[order] = np.repeat(total, np.diff(np.append(at, len(key))))
+        # of equal sets the one in the first block stands for all; the others are told so
+        whole = np.flatnonzero((owner >= WHOLE) & (owner != SEVERAL))
+        number = np.repeat(blocks, [len(x) for x in parts])[whole]
+        whole = whole[np.lexsort((number, key[whole]))]
+        sets[whole[_starts(key[whole])]] = 1
         out, low = [], 0
         for number, part in zip(blocks, parts, strict=True):
             here = np.flatnonzero(sets[low : low + len(part)] > 1)
@@ -205,11 +215,16 @@ def _settled(counted: DataFrame, percent: int, ranges: int) -> DataFrame:
         key = np.concatenate([unplaned(r[1], U) for r in answers]) if answers else np.zeros(0, U)
         owner = np.frombuffer(b"".join(r[2] for r in answers), np.uint16).astype(np.int64)
         often = np.frombuffer(b"".join(r[3] for r in answers), np.uint8)
+        follows = np.zeros(len(n), bool)
+        told = (owner >= WHOLE) & (owner != SEVERAL)
+        follows[owner[told] - WHOLE] = True
+        key, owner, often = key[~told], owner[~told], often[~told]
         several = owner == SEVERAL
         order = np.argsort(key[several])
         local = unplaned(blob, U)
         found = np.searchsorted(key[several][order], local)
         key, owner, often = np.concatenate([key[~several], local]), np.concatenate([owner[~several], np.frombuffer(owners, np.uint16)]), np.concatenate([often[~several], often[several][order][found]])
+        key, owner, often = (x[~follows[owner]] for x in (key, owner, often))
         order = np.lexsort((key, often, owner))
         key, owner = key[order], owner[order]
         shared = np.bincount(owner, minlength=len(n))
@@ -292,12 +307,13 @@ _TOLD = pa.schema([*((c, pa.int64()) for c in ("bundle", "c", "i", "j")), ("ids"
 _PLACED = ("bundle", "cuts", "c", "i", "j", "id", "one", "n")
 
 
-def _tiles(placed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of the links within each tile (c, i, j). placed: c, i, j, cuts (fragments of the tile), block, id, one, m.
+def _tiles(placed: DataFrame, shingles: int, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of the links within each tile (c, i, j). placed: c, i, j, cuts (fragments of the tile), id, one, n, hashes;
+    shingles: how many these are.
 
     The overlaps of a tile's pairs are counted in each fragment apart, and summed for each pair.
     """
-    bundles = max(1, -(-(placed.agg(F.sum("m")).first()[0] or 0) // BUNDLE))
+    bundles = max(1, -(-shingles // BUNDLE))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +341,8 @@ def _tiles(placed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             own = order[a:b]
             sets = np.concatenate([value[begin[k] : begin[k] + head[k, 6]] for k in own])
             shared = _overlaps(len(own), sets, np.repeat(np.arange(len(own)), head[own, 6]))
-            out.append((table.column("bundle")[0].as_py(), *map(int, tile[a]), head[own, 3].tobytes(), head[own, 5].tobytes(), shared.astype(np.uint32).tobytes()))
+            pairs = shared[np.triu_indices(len(own), 1)].astype(np.uint32)
+            out.append((table.column("bundle")[0].as_py(), *map(int, tile[a]), head[own, 3].tobytes(), head[own, 5].tobytes(), planes(pairs)))
         release()
         return pa.Table.from_batches([_batch(out, _TOLD)])
 
@@ -334,10 +351,12 @@ def _tiles(placed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         sums: dict[tuple, np.ndarray] = {}
         for *tile, ids, sizes, shared in zip(*(table.column(c).to_pylist() for c in _TOLD.names[1:]), strict=True):
             key = (*tile, ids, sizes)
-            sums[key] = sums.get(key, 0) + np.frombuffer(shared, np.uint32).astype(np.int64)
-        for (*_, ids, sizes), shared in sums.items():
+            sums[key] = sums.get(key, 0) + unplaned(shared, np.uint32).astype(np.int64)
+        for (*_, ids, sizes), pairs in sums.items():
             id_, n = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-            shared = shared.reshape(len(n), -1)
+            shared = np.zeros((len(n), len(n)), np.int64)
+            shared[np.triu_indices(len(n), 1)] = pairs
+            shared += shared.T
             union = n[:, None] + n[None, :] - shared
             label = _groups((100 * shared >= percent * union) & (shared > 0), id_)
             a.append(label[label != id_])
@@ -346,8 +365,7 @@ def _tiles(placed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     bundle = F.pmod(F.xxhash64("c", "i", "j"), F.lit(bundles)).alias("bundle")
-    sets = found.where(F.col("k") > 0).select("block", "id", "one", "n", "hashes")
-    held = placed.join(sets, ["block", "id", "one"]).select(bundle, *[F.col(c).cast("long") for c in _PLACED[1:]], "hashes")
+    held = placed.select(bundle, *[F.col(c).cast("long") for c in _PLACED[1:]], "hashes")
     return held.mapInArrow(cut, _ddl(_CUT)).groupBy("bundle", "part").applyInArrow(count, _ddl(_TOLD)).groupBy("bundle").applyInArrow(total, "a long, b long")
 
 
@@ -365,36 +383,42 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     sized = all_.where("id is not null and n > 0")
     classes = sized.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").drop("last")
     same = sized.select("id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    # one document of each class, in the cluster of all that it shares a key with
+    # the documents that stand for their classes, in the clusters of all that they share a key with
     near = written(components(_candidates(found), "a", "b"), "clusters")
-    first = sized.where("k > 0").groupBy("n", "one", "two").agg(F.min(F.struct("id", "block", "m", "k")).alias("x")).select("one", "x.*")
-    members = written(first.join(near, F.col("id") == F.col("node")).select("block", "id", "one", "m", "k", F.col("label").alias("c")), "members")
-    counts = members.groupBy("c").agg(F.count("*").alias("count"), F.sum("m").alias("sum")).where("count > 1")
+    own = ["block", "id", "one"]
+    apart = (F.col("n") - F.col("m")).alias("apart")
+    members = written(sized.where("k > 0").select(*own, "n", "m", apart).join(near, F.col("id") == F.col("node")).withColumnRenamed("label", "c").drop("node"), "members")
+    # those with the fewest shingles of their own are the middle of a cluster, and some of these its leaders
+    middle = members.groupBy("c").agg(F.count("*").alias("count"), F.sum("m").alias("sum"), F.percentile_approx("apart", 0.1, 100).alias("middle")).where("count > 1")
+    able = members.join(middle.where(F.col("count") > TILE).select("c", "middle"), "c").where("apart <= middle").groupBy("c").agg(F.ceil(F.count("*") / LEADERS).alias("gap"))
     blocks = F.ceil(F.col("count") / TILE)
-    counts = written(counts.select("c", blocks.alias("blocks"), F.ceil(F.col("count") / LEADERS).alias("gap"), F.ceil(F.col("sum") / blocks / FRAGMENT).alias("cuts")), "counts")
-    members = written(members.join(counts, "c"), "members")
+    counts = written(middle.join(able, "c", "left").select("c", "middle", "gap", blocks.alias("blocks"), F.ceil(F.col("sum") / blocks / FRAGMENT).alias("cuts")), "counts")
+    sets = written(found.where(F.col("k") > 0).select(*own, "k", "hashes").join(members.join(counts, "c"), own), "sets")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(7), "id"), F.col("gap")) == 0)
+    leads = (F.col("blocks") > 1) & (F.col("apart") <= F.col("middle")) & (F.pmod(F.xxhash64(F.lit(7), "id"), F.col("gap")) == 0)
     everywhere = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block)))
-    edges = written(_tiles(members.select("c", everywhere.alias("i"), F.lit(0).cast("long").alias("j"), "cuts", "block", "id", "one", "m"), found, percent), "links")
-    edges = edges.unionByName(_left_apart(members.where("blocks > 1"), found, edges, percent))
+    tiled = sets.select("c", everywhere.alias("i"), F.lit(0).cast("long").alias("j"), "cuts", "id", "one", "n", "hashes")
+    edges = written(_tiles(tiled, members.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0], percent), "links")
+    edges = edges.unionByName(_left_apart(sets.where("blocks > 1"), edges, percent))
     parts = components(edges.unionByName(same), "a", "b")
     return all_.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 
-def _left_apart(large: DataFrame, found: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+def _left_apart(large: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Links of large clusters between documents that no tile of the first round held together: whatever is outside of
     a cluster's largest component meets, in groups, the documents with which the group shares a key."""
     if large.isEmpty():
         return edges.limit(0)
+    own = ["block", "id", "one"]
+    rest = [*own, "m", "cuts", "c"]
     parts = components(edges.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi"), "a", "b")
-    labelled = written(large.join(parts, F.col("id") == F.col("node"), "left").select("block", "id", "one", "m", "cuts", "c", F.coalesce("label", "id").alias("label")), "labelled")
+    labelled = written(large.select(*rest).join(parts, F.col("id") == F.col("node"), "left").select(*rest, F.coalesce("label", "id").alias("label")), "labelled")
     main = labelled.groupBy("c", "label").count().groupBy("c").agg(F.max(F.struct("count", "label")).alias("top")).select("c", F.col("top.label").alias("main"))
     apart = written(labelled.join(main, "c").where("label != main").drop("label", "main"), "apart")
     if apart.isEmpty():
         return edges.limit(0)
     groups = apart.groupBy("c").agg(F.ceil(F.count("*") / TILE).alias("groups"))
-    own = written(apart.join(groups, "c").withColumn("j", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("groups"))).drop("groups"), "groups")
+    asking = written(apart.join(groups, "c").withColumn("j", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("groups"))).drop("groups"), "groups")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,21 +428,18 @@ def _left_apart(large: DataFrame, found: DataFrame, edges: DataFrame, percent: i
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), *(x.take(who) for x in batch.columns[2:])], names=["key", *rest])
 
     # of the clusters in which any is apart, all documents with their keys
-    rest = ["block", "id", "one", "m", "cuts", "c"]
-    whole = large.join(apart.select("c").distinct(), "c", "left_semi").select(*rest)
-    sets = found.where(F.col("k") > 0).select("block", "id", "one", "k", "hashes")
-    held = written(whole.join(sets, ["block", "id", "one"]).select("k", "hashes", *rest).mapInArrow(keys, "key long, " + ", ".join(f"{c} long" for c in rest)), "keys")
-    asking = held.join(own.select("block", "id", "one", "c", "j"), ["block", "id", "one", "c"]).select("c", "key", "j").distinct()
-    touched = held.join(asking, ["c", "key"]).drop("key").unionByName(own).distinct()
-    touched = written(touched, "touched")
+    whole = large.join(apart.select("c").distinct(), "c", "left_semi").select("k", "hashes", *rest)
+    held = written(whole.mapInArrow(keys, "key long, " + ", ".join(f"{c} long" for c in rest)), "keys")
+    asked = held.join(asking.select(*own, "c", "j"), [*own, "c"]).select("c", "key", "j").distinct()
+    touched = written(held.join(asked, ["c", "key"]).drop("key").unionByName(asking).distinct(), "touched")
     across = touched.groupBy("c", "j").agg(F.ceil(F.count("*") / TILE).alias("across"))
     # the group's own documents stand in each of its tiles, which the others are dealt over
-    mine = own.select("block", "id", "one", "c", "j", F.lit(True).alias("mine"))
-    placed = touched.join(across, ["c", "j"]).join(mine, ["block", "id", "one", "c", "j"], "left")
-    zero = F.lit(0).cast("long")
-    tile = F.explode(F.when(F.col("mine"), F.sequence(zero, F.col("across") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "one"), F.col("across")))))
-    placed = written(placed.select("c", tile.alias("i"), (F.col("j") + 1).alias("j"), "cuts", "block", "id", "one", "m"), "placed")
-    return written(_tiles(placed, found, percent), "links")
+    mine = asking.select(*own, "c", "j", F.lit(True).alias("mine"))
+    placed = touched.join(across, ["c", "j"]).join(mine, [*own, "c", "j"], "left")
+    tile = F.explode(F.when(F.col("mine"), F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "one"), F.col("across")))))
+    placed = written(placed.select("c", tile.alias("i"), (F.col("j") + 1).alias("j"), "cuts", *own, "m"), "placed")
+    tiled = placed.drop("m").join(large.select(*own, "n", "hashes"), own)
+    return written(_tiles(tiled, placed.agg(F.sum("m")).first()[0], percent), "links")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

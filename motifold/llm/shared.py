@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,8 +73,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         near = both.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("near"))
         step = written(labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         up = step.select(F.col("node").alias("root"), F.col("label").alias("above"))
-        after = written(step.join(up, F.col("label") == F.col("root"), "left").select("node", "was", F.least("label", "above").alias("label")), "labels")
-        changed = not after.where("was != label").isEmpty()
+        seen = Observation()
+        after = step.join(up, F.col("label") == F.col("root"), "left").select("node", "was", F.least("label", "above").alias("label"))
+        after = written(after.observe(seen, F.count_if(F.col("was") != F.col("label")).alias("changed")), "labels")
+        changed = seen.get["changed"] > 0
         discard(labels)
         discard(step)
         labels = after.select("node", "label")
