@@ -4,7 +4,7 @@ A vocabulary file in the tokenizers library's format (byte-level BPE) is read, n
 pattern. In each piece an Aho-Corasick automaton finds the longest token at every place; the encoder goes from one to the next, and keeps
 two tokens side by side only if merging their bytes by rank would have left that boundary (the pair table). Where it would not, it takes the
 next shorter token, or goes back; places known to be dead ends are marked, so the time is linear. Pieces that were encoded before
-come from a bounded cache, which changes no result.
+come from a bounded cache, which changes no result; when it is full, the pieces that are still in use stay.
 
 A null or empty text has no tokens. Text is never truncated. Every row gets one row.
 """
@@ -12,9 +12,11 @@ A null or empty text has no tokens. Text is never truncated. Every row gets one
 from __future__ import annotations
 
 import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import ahocorasick
 import numpy as np
@@ -28,7 +30,33 @@ from motifold.llm.text import column_bytes, release, slices
 
 #: The pre-tokenizer's fixed pattern, with white space spelt out as the property that it stands for there.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-PART, CACHE = 1 << 19, 1 << 17
+PART, CACHE = 1 << 19, 1 << 18
+
+
+class Cache(dict):
+    """Results of a function, at most twice `most`: when `most` are held they become the older ones, and those of them that are asked for come back."""
+
+    def __init__(self, function: Callable[[Any], Any], most: int):
+        super().__init__()
+        self.function, self.most, self.older = function, most, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+@lru_cache(maxsize=1)
+def narrow_pattern() -> re.Pattern[str]:
+    """PATTERN for texts without characters beyond U+FFFF: regex lists the properties' characters, and re is faster on such sets."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    space, letter, number = ("".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(rf"\p{{{name}}}+", plane)) for name in ("White_Space", "L", "N"))
+    return re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 def _characters() -> dict[str, int]:
@@ -70,13 +98,13 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for t, r in rank.items():
             if len(t) > 1:
-                self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
+                self.automaton.add_word(t.decode("latin-1"), (r, len(t) - 1))
         self.automaton.make_automaton()
         self.size = [len(t) for t in self.bytes]
         #: The longest token that is a proper prefix of each token.
         self.shorter = [next((rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in rank), -1) for t in self.bytes]
         #: Pairs of tokens whose compatibility is known; bounded.
-        self.table: dict[int, bool] = {}
+        self.table = Cache(lambda pair: self.compatible(pair >> 20, pair & 0xFFFFF), CACHE)
         self.added = {a["content"]: a["id"] for a in model["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
@@ -84,7 +112,9 @@ class Encoder:
         #: The bytes of all tokens in the order of their ids, and where each begins.
         self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(max(tokens) + 1)), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(tokens.get(i, b"")) for i in range(max(tokens) + 1)])])
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(self.coded, CACHE)
+        #: Long pieces in the cache; they leave it with their text.
+        self.long: list[str] = []
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the boundary between tokens a and b outlasts every merge inside and across them.
@@ -108,13 +138,10 @@ class Encoder:
         """Ids of one piece, by backtracking."""
         n, size, table, shorter = len(data), self.size, self.table, self.shorter
         longest = list(data)
-        reach = [1] * n
-        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
-            start = end + 1 - length
-            if length > reach[start]:
-                reach[start] = length
-                longest[start] = token
-        if n and reach[0] == n:
+        # matches come by their ends, so of those from one place the longest comes last
+        for end, (token, before) in self.automaton.iter(data.decode("latin-1")):
+            longest[end - before] = token
+        if n and size[longest[0]] == n:
             return [self.id[longest[0]]]
         alive = bytearray(b"\1") * (n + 1)
         out: list[int] = []
@@ -122,15 +149,7 @@ class Encoder:
         while at < n:
             end = at + size[token]
             if alive[end]:
-                if last < 0:
-                    fits = True
-                else:
-                    fits = table.get(last << 20 | token)
-                    if fits is None:
-                        if len(table) >= CACHE:
-                            table.clear()
-                        fits = table[last << 20 | token] = self.compatible(last, token)
-                if fits:
+                if last < 0 or table[last << 20 | token]:
                     out.append(token)
                     last, at = token, end
                     if at < n:
@@ -145,32 +164,34 @@ class Encoder:
                 last = out[-1] if out else -1
         return [self.id[t] for t in out]
 
+    def coded(self, word: str) -> bytes:
+        if len(word) > 64:
+            self.long.append(word)
+        return array("i", self.piece(word.encode())).tobytes()
+
     def words(self, text: str) -> Iterator[list[str] | int]:
         """Pieces of a text, and the ids of added tokens between them."""
+        narrow = text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
+        pattern = narrow_pattern() if narrow else self.pattern
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            yield self.pattern.findall(text, at, m.start())
+            yield pattern.findall(text, at, m.start())
             yield self.added[m[0]]
             at = m.end()
-        yield self.pattern.findall(text[at:] if at else text)
+        yield pattern.findall(text[at:] if at else text)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text. The cache holds each piece's ids as bytes, so that joining them needs no object for each id."""
         out: list[bytes] = []
-        cache = self.cache
         for part in self.words(text):
             if isinstance(part, int):
                 out.append(np.int32(part).tobytes())
-                continue
-            pieces = set(part)
-            if len(cache) + len(pieces) > CACHE:
-                cache.clear()
-            for word in pieces.difference(cache):
-                cache[word] = array("i", self.piece(word.encode())).tobytes()
-            out.append(b"".join(map(cache.__getitem__, part)))
-            for word in pieces:
-                if len(word) > 64:
-                    del cache[word]
+            else:
+                out.append(b"".join(map(self.cache.__getitem__, part)))
+        while self.long:
+            word = self.long.pop()
+            self.cache.pop(word, None)
+            self.cache.older.pop(word, None)
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -169,6 +169,30 @@ def test_bpe_matches_the_library(library):
         assert ours.encode(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_narrow_pattern(library):
+    """The pattern for texts up to U+FFFF cuts as the general one does, around each of these characters."""
+    ours, r = library[1], random.Random(8)
+    plane = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for text_ in ("".join(plane), "".join(f" {c}a{c}{c} 1{c}.{c} " for c in plane), "".join(r.choices(plane, k=50_000)), "".join(r.choices("ab' stvremld\n\t\x1c\x85\u2028é½1.", k=50_000))):
+        assert bpe.narrow_pattern().findall(text_) == ours.pattern.findall(text_)
+        assert list(ours.words(text_ + "😀 's")) == [ours.pattern.findall(text_ + "😀 's")]
+
+
+def test_bpe_cache_keeps_what_is_used(library, monkeypatch):
+    """Pieces that are asked for again and again are encoded once, however many others come between; none is held for good."""
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    theirs, ours = library[0], bpe.Encoder(queries.vocabulary())
+    calls, piece = [], ours.piece
+    monkeypatch.setattr(ours, "piece", lambda data: calls.append(data) or piece(data))
+    for k in range(60):
+        text_ = "often used words here" + "".join(f" q{'xyz'[k % 3]}{chr(97 + k % 26)}{chr(97 + j)}w" for j in range(12)) + f" {'-' * (70 + k)} {'-' * (70 + k)}"
+        assert ours.encode(text_).tolist() == theirs.encode(text_, add_special_tokens=False).ids
+    assert [calls.count(word) for word in (b"often", b" used", b" words", b" here")] == [1] * 4
+    assert all(calls.count(b" " + b"-" * (70 + k)) == 1 for k in range(60))
+    assert len(ours.cache) <= 40 and len(ours.cache.older) <= 40
+    assert all(len(word) <= 64 for word in [*ours.cache, *ours.cache.older])
+
+
 def test_bpe_round_trip(spark, library):
     docs = awkward(spark, most=40)
     path = queries.vocabulary()
